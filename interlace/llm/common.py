@@ -123,3 +123,65 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     stars = e.groupBy("u").agg(F.min("v").alias("component"))
     return stars.select(F.col("u").alias("node"), "component").union(stars.select("component", "component").distinct())
+
+
+_powers = [np.ones(1, U64), np.ones(1, U64)]
+BASE = 0x9E3779B97F4A7C15 | 1
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((BASE, BASE_INVERSE)):
+            p = np.full(max(n, 1 << 20), U64(base))
+            p[0] = 1
+            _powers[i] = np.cumprod(p, dtype=U64)
+    return _powers[0][:n], _powers[1][:n]
+
+
+#: A letter value for each byte; 0 outside words. Words are runs of ASCII letters and digits and of
+#: bytes beyond ASCII; ASCII letters count without case.
+LETTER = np.zeros(256, U64)
+for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
+    LETTER[_b] = (_b * 0x9FB21C651E98DF25 ^ 0xD6E8FEB86659FD93) % (1 << 64)
+LETTER[65:91] = LETTER[97:123]
+
+
+def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, where each begins, and how many each row has (rows end words)."""
+    n = len(raw)
+    inside = (LETTER != 0)[raw]
+    edge = np.zeros(n + 1, np.int8)
+    edge[:n] += inside
+    edge[1:] -= inside
+    begin, end = edge[:n] > 0, edge[1:] < 0
+    # rows that meet inside a run of letters
+    cut = at[1:-1]
+    cut = cut[(cut > 0) & (cut < n)]
+    cut = cut[inside[cut] & inside[cut - 1]]
+    begin[cut] = True
+    end[cut - 1] = True
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    up, down = powers(n + 1)
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(LETTER[raw] * up[:n], dtype=U64)])
+    h = (total[ends] - total[starts]) * down[starts]
+    h ^= h >> U64(29)
+    mix(h, ODD[2])
+    return h, starts, np.diff(np.searchsorted(starts, at))
+
+
+def shingles(h: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of ``size`` words and how many each row has; a row with fewer words has one run of all."""
+    if not len(h):
+        return h, counts
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = run_lengths(counts)
+    here = (place + size <= counts[row]) | ((place == 0) & (counts[row] < size))
+    first = np.flatnonzero(here)
+    s = np.full(len(first), U64(ODD[4]))
+    for i in range(size):
+        more = np.minimum(i, counts[row[first]] - 1)  # short rows repeat their last word
+        s += h[first + more]
+        mix(s, ODD[i % 4])
+    return s, np.bincount(row[first], minlength=len(counts))
