@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from interlace.llm import chat, fingerprints, packing, quality, sentencepieces
+from interlace.llm import chat, embeddings, fingerprints, language, packing, quality, sentencepieces
 from interlace.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality": op3_quality,
+    "op4_embedding_near_dup": op4_embedding_near_dup,
+    "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op9_sentencepiece": op9_sentencepiece,
