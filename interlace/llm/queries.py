@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from interlace.llm import chat, embeddings, fingerprints, language, packing, quality, sentencepieces, suffixes
+from interlace.llm import chat, embeddings, fingerprints, language, minhash, packing, quality, sentencepieces, suffixes
 from interlace.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), 50)
 
 
+def op2_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_minhash_near_dup": op2_minhash_near_dup,
     "op3_quality": op3_quality,
     "op4_embedding_near_dup": op4_embedding_near_dup,
     "op6_language": op6_language,
