@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs with all their columns, but of each class only its smallest doc_id, once."""
-    drop = near_duplicates(docs, threshold).where("not kept").select("doc_id")
-    kept = docs.join(drop, docs.doc_id.eqNullSafe(drop.doc_id), "left_anti")
-    return kept
+    drop = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("dropped__"))
+    kept = docs.join(drop, docs.doc_id.eqNullSafe(drop.dropped__), "left_anti")
+    repeated = len(docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()) > 0
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from interlace.llm import chat, embeddings, fingerprints, language, minhash, packing, quality, sentencepieces, suffixes
+from interlace.llm import chat, embeddings, fingerprints, language, lines, minhash, packing, quality, sentencepieces, suffixes
 from interlace.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_minhash_near_dup": op2_minhash_near_dup,
     "op3_quality": op3_quality,
     "op4_embedding_near_dup": op4_embedding_near_dup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,

@@ -183,7 +183,7 @@ class Rows:
 
     def __init__(self, table: pa.Table):
         key = np.zeros(table.num_rows, [("doc", "<i8"), ("tag", "<u4")])
-        key["doc"], key["tag"] = table["key"].to_numpy(), table["tag"].to_numpy()
+        key["doc"], key["tag"] = table["key__"].to_numpy(), table["tag__"].to_numpy()
         self.tagged = bool(key["tag"].any())
         self.keys, index, self.inverse = np.unique(key if self.tagged else key["doc"], return_index=True, return_inverse=True)
         self.doc, self.tag = key["doc"][index], key["tag"][index]
@@ -253,8 +253,8 @@ def removals(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
     repeated = len(docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()) > 0
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
-    keyed = docs.withColumns({"key": key, "tag": (F.crc32(text.cast("binary")) if repeated else F.lit(0)).cast("long"), "text": text})
-    keyed = keyed.withColumn("bucket", doc_bucket_column(F.col("key"), doc_buckets))
+    keyed = docs.withColumns({"key__": key, "tag__": (F.crc32(text.cast("binary")) if repeated else F.lit(0)).cast("long"), "text": text})
+    keyed = keyed.withColumn("bucket__", doc_bucket_column(F.col("key__"), doc_buckets))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -265,7 +265,7 @@ def removals(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
             return as_batch(list(local(part, buckets, doc_buckets)))
 
         for b in batches:
-            doc, tag = b["key"].to_numpy(), b["tag"].to_numpy()
+            doc, tag = b["key__"].to_numpy(), b["tag__"].to_numpy()
             raw, at = utf8(b["text"])
             for lo, hi in slices(at):
                 part = runs(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], size)
@@ -278,11 +278,11 @@ def removals(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
         if held:
             yield flush()
 
-    ranked = keyed.select("key", "tag", "text").mapInArrow(rank, PACKED)
+    ranked = keyed.select("key__", "tag__", "text").mapInArrow(rank, PACKED)
     settled = checkpoint(ranked.groupBy("kind", "bucket").applyInArrow(lambda t: rerank(t, doc_buckets, True), PACKED))
     release(spark)
     asked = settled.where(F.col("kind") == ASKED)
-    expanded = keyed.select("key", "tag", "text", "bucket").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(lambda d, a: windows(d, a, size, buckets, doc_buckets), PACKED)
+    expanded = keyed.select("key__", "tag__", "text", "bucket__").groupBy("bucket__").cogroup(asked.groupBy("bucket")).applyInArrow(lambda d, a: windows(d, a, size, buckets, doc_buckets), PACKED)
     more = checkpoint(expanded.groupBy("kind", "bucket").applyInArrow(lambda t: rerank(t, doc_buckets, False), PACKED))
     release(spark)
     return keyed, settled.where(F.col("kind") == REMOVED).union(more), doc_buckets
@@ -307,7 +307,7 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         return pa.Table.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return keyed.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(lambda d, g: finish(d, g) if d.num_rows else _none(schema), schema)
+    return keyed.groupBy("bucket__").cogroup(gone.groupBy("bucket")).applyInArrow(lambda d, g: finish(d, g) if d.num_rows else _none(schema), schema)
 
 
 def _none(schema: str) -> pa.Table:
@@ -327,4 +327,4 @@ def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
         texts = [k.decode("utf-8", "ignore") for k in found["kept"]]
         return d.select(schema.names).set_column(schema.names.index("text"), "text", pa.array([texts[i] for i in inverse], pa.string()))
 
-    return keyed.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(finish, schema)
+    return keyed.groupBy("bucket__").cogroup(gone.groupBy("bucket")).applyInArrow(finish, schema)
