@@ -29,24 +29,25 @@ from interlace.llm.common import ODD, U64, checkpoint, gram_hash, mix, release,
 BATCH = 16 << 20
 REMOVED, ASKED, RUN = 0, 1, 2  # kinds of packed rows: settled runs, runs to rerank, runs to sort
 FIELDS = (("name", "<u4"), ("pair", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("more", "<u1"))
+ROW_BYTES = sum(np.dtype(kind).itemsize for _, kind in FIELDS)
 PACKED = "kind int, bucket int, n int, data binary"
 
 
 def pack(part: dict[str, np.ndarray]) -> bytes:
-    """Columns as planes of bytes (ids as differences), which the shuffle's codec shrinks well."""
+    """Columns as planes of bytes (ids as differences), compressed: checkpoints don't compress by themselves."""
     planes = []
     for name, kind in FIELDS:
         x = np.ascontiguousarray(part[name], kind)
         if name == "doc":
             x = np.diff(x, prepend=np.zeros(1, x.dtype))
         planes.append(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
-    return b"".join(planes)
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
 
 
 def unpack(blobs: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
     parts: dict[str, list] = {name: [] for name, _ in FIELDS}
     for n, data in blobs:
-        at = 0
+        at, data = 0, pa.decompress(data, n * ROW_BYTES, "zstd", asbytes=True)
         for name, kind in FIELDS:
             width = np.dtype(kind).itemsize
             x = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
