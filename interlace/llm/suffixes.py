@@ -250,7 +250,7 @@ def removals(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
     """Keyed documents, packed removed runs by bucket of their documents, and the number of buckets."""
     spark = docs.sparkSession
     doc_buckets = 2 * shuffle_partitions(spark) + 1
-    buckets = 4 * shuffle_partitions(spark)
+    buckets = 2 * shuffle_partitions(spark)
     repeated = len(docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()) > 0
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
