@@ -28,7 +28,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         place = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(place or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+    clean, was = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:  # the files of this action's shuffles are of no use once its result is written
+        was = spark.conf.get(clean, None)
+        spark.conf.set(clean, "true")
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(clean, was) if was else spark.conf.unset(clean)
 
 
 def release(spark: SparkSession) -> None:

@@ -27,7 +27,8 @@ from interlace.llm.common import ODD, U64, checkpoint, gram_hash, mix, release,
 
 #: Bytes of text whose runs are settled among themselves before they are dealt out.
 BATCH = 16 << 20
-REMOVED, ASKED, RUN = 0, 1, 2  # kinds of packed rows: settled runs, runs to rerank, runs to sort
+SETTLED, RUN = 0, 1  # kinds of packed rows: for the buckets of documents, and of names
+REMOVED, ASKED = 0, 1  # what a settled row says, in place of its name: the run goes, or is to be reranked
 FIELDS = (("name", "<u4"), ("pair", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("more", "<u1"))
 ROW_BYTES = sum(np.dtype(kind).itemsize for _, kind in FIELDS)
 PACKED = "kind int, bucket int, n int, data binary"
@@ -147,11 +148,11 @@ def settle(part: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order, doc > doc[first], fresh_name, fresh
 
 
-def to_docs(kind: int, part: dict[str, np.ndarray], doc_buckets: int) -> Iterator[tuple]:
-    """Rows for the buckets of their documents, in order there; names are of no more use."""
+def to_docs(part: dict[str, np.ndarray], says: np.ndarray, doc_buckets: int) -> Iterator[tuple]:
+    """Rows for the buckets of their documents, in order there; names and pairs are of no more use."""
+    part = {**part, "name": says, "pair": np.zeros(len(says), np.int64)}
     part = take(part, np.lexsort((part["at"], part["doc"])))
-    zero = np.zeros(len(part["doc"]), np.int64)
-    return deal(kind, doc_bucket(part["doc"], doc_buckets), {**part, "name": zero, "pair": zero})
+    return deal(SETTLED, doc_bucket(part["doc"], doc_buckets), part)
 
 
 def local(part: dict[str, np.ndarray], buckets: int, doc_buckets: int) -> Iterator[tuple]:
@@ -159,7 +160,8 @@ def local(part: dict[str, np.ndarray], buckets: int, doc_buckets: int) -> Iterat
     if not len(part["doc"]):
         return
     order, gone, _, _ = settle(part)
-    yield from to_docs(REMOVED, take(part, order[gone]), doc_buckets)
+    out = take(part, order[gone])
+    yield from to_docs(out, np.full(len(out["doc"]), REMOVED), doc_buckets)
     rest = take(part, np.sort(order[~gone]))
     yield from deal(RUN, (rest["name"] >> U64(40)).astype(np.int64) % buckets, {**rest, "name": rest["name"] & U64(0xFFFFFFFF)})
 
@@ -168,15 +170,15 @@ def rerank(table: pa.Table, doc_buckets: int, ask: bool) -> pa.Table:
     """Settle one bucket of names. ``ask``: pass on the runs that share a name with other strings of other documents."""
     if table["kind"][0].as_py() != RUN:
         return table
-    part = unpack(list(zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True)))
+    part = _blobs(table)
     order, gone, fresh_name, fresh = settle(part)
-    rows = list(to_docs(REMOVED, take(part, order[gone]), doc_buckets))
+    tell = gone
     if ask:
         begin, of = np.flatnonzero(fresh_name), np.cumsum(fresh_name) - 1
         doc = part["doc"][order]
         mixed = (np.bincount(of, fresh) > 1) & (np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin))
-        rows += to_docs(ASKED, take(part, order[~gone & mixed[of]]), doc_buckets)
-    return pa.Table.from_batches([as_batch(rows)])
+        tell = gone | mixed[of]
+    return pa.Table.from_batches([as_batch(list(to_docs(take(part, order[tell]), np.where(gone[tell], REMOVED, ASKED), doc_buckets)))])
 
 
 class Rows:
@@ -205,6 +207,7 @@ def _blobs(table: pa.Table) -> dict[str, np.ndarray]:
 def windows(docs: pa.Table, asked: pa.Table, size: int, buckets: int, doc_buckets: int) -> pa.Table:
     """Each window of the runs asked for, ranked by the pair of its half names."""
     part = _blobs(asked)
+    part = take(part, part["name"] == ASKED)
     if not len(part["doc"]):
         return pa.Table.from_batches([as_batch([])])
     rows = Rows(docs)
@@ -219,6 +222,7 @@ def windows(docs: pa.Table, asked: pa.Table, size: int, buckets: int, doc_bucket
 def covered(rows: Rows, part: dict[str, np.ndarray], size: int) -> np.ndarray:
     """Which bytes some removed window covers."""
     change = np.zeros(len(rows.raw) + 1, np.int32)
+    part = take(part, part["name"] == REMOVED)
     if len(part["doc"]):
         start = rows.at[rows.find(part)] + part["at"]
         change += np.bincount(start, minlength=len(change)).astype(np.int32)
@@ -246,8 +250,8 @@ def _not_after(gone: np.ndarray, at: np.ndarray) -> np.ndarray:
     return free
 
 
-def removals(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
-    """Keyed documents, packed removed runs by bucket of their documents, and the number of buckets."""
+def removals(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Keyed documents and their packed runs, both with the buckets of documents."""
     spark = docs.sparkSession
     doc_buckets = 2 * shuffle_partitions(spark) + 1
     buckets = 2 * shuffle_partitions(spark)
@@ -282,11 +286,10 @@ def removals(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
     ranked = keyed.select("key__", "tag__", "text").mapInArrow(rank, PACKED)
     settled = checkpoint(ranked.groupBy("kind", "bucket").applyInArrow(lambda t: rerank(t, doc_buckets, True), PACKED))
     release(spark)
-    asked = settled.where(F.col("kind") == ASKED)
-    expanded = keyed.select("key__", "tag__", "text", "bucket__").groupBy("bucket__").cogroup(asked.groupBy("bucket")).applyInArrow(lambda d, a: windows(d, a, size, buckets, doc_buckets), PACKED)
+    expanded = keyed.select("key__", "tag__", "text", "bucket__").groupBy("bucket__").cogroup(settled.groupBy("bucket")).applyInArrow(lambda d, a: windows(d, a, size, buckets, doc_buckets), PACKED)
     more = checkpoint(expanded.groupBy("kind", "bucket").applyInArrow(lambda t: rerank(t, doc_buckets, False), PACKED))
     release(spark)
-    return keyed, settled.where(F.col("kind") == REMOVED).union(more), doc_buckets
+    return keyed, settled.union(more)
 
 
 def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -299,7 +302,7 @@ def remove_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """
     if not 16 <= size <= 255:
         raise ValueError("size must be from 16 to 255 bytes")
-    keyed, gone, _ = removals(docs.select("doc_id", "text"), size)
+    keyed, gone = removals(docs.select("doc_id", "text"), size)
 
     def finish(d: pa.Table, g: pa.Table) -> pa.Table:
         found, inverse = cut_out(d, _blobs(g), size)
@@ -318,7 +321,7 @@ def _none(schema: str) -> pa.Table:
 
 def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """All columns of docs, texts without the repeated strings; characters that lose some of their bytes go whole."""
-    keyed, gone, _ = removals(docs, size)
+    keyed, gone = removals(docs, size)
     schema = docs.schema
 
     def finish(d: pa.Table, g: pa.Table) -> pa.Table:
