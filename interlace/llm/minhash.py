@@ -9,8 +9,9 @@ exactly before it counts.
 
 Texts with equal weighted sets are one class from the start. In each band every member is held
 against the bucket's smallest member; after links have joined members into components, pairs of
-one bucket that still lie in different components and were not compared are verified too. So no
-candidate is left out, and large groups cost no more than a few comparisons a member.
+one bucket that still lie in different components and were not compared are verified too, in large
+buckets by tiles that emit a spanning forest only. So no candidate is left out, and no large group
+turns into a table of its pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from interlace.llm.common import ODD, U64, checkpoint, components, mix, release,
 #: 24 bands of 4 components miss a pair at similarity 0.8 in 3 of a million cases.
 BANDS, WIDTH = 24, 4
 SIZE = BANDS * WIDTH
+#: Buckets with more members are compared in tiles, smaller ones pair by pair.
+LARGE = 32
 
 
 def weighted(raw: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,6 +131,63 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def similarities(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """Which pairs of a block are similar enough. Sets without repeats are compared by one product of 0/1 rows."""
+    n, size = len(sets), np.array([w.sum() for _, w in sets], float)
+    row = np.repeat(np.arange(n), [len(e) for e, _ in sets])
+    _, column, times = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    hit = shared[column]
+    common = np.zeros((n, n), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        here = hit & (place[column] >= at) & (place[column] < at + 4096)
+        grid = np.zeros((n, 4096), np.float32)
+        grid[row[here], place[column[here]] - at] = 1
+        common += grid @ grid.T
+    good = common >= threshold * (size[:, None] + size[None] - common) - 1e-9
+    plain = np.array([bool((w == 1).all()) for _, w in sets])
+    for i in np.flatnonzero(~plain):
+        for j in np.flatnonzero((common[i] > 0) & (plain | (np.arange(n) > i))):
+            good[i, j] = good[j, i] = similarity(sets[i], sets[j]) >= threshold
+    return good
+
+
+def tiles(rows: DataFrame, texts: DataFrame, threshold: float, block: int = 128) -> DataFrame:
+    """Links (a, b) between components within large buckets (key, rep, component, n), enough to join what is similar.
+
+    A bucket is cut into blocks, and a tile holds two of them; it emits a spanning forest at most.
+    """
+    parts = (F.floor(F.col("n") / block) + 1).cast("int")
+    own = rows.withColumn("own", F.pmod(F.xxhash64("rep"), parts.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = own.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "component")
+
+    def run(t: pa.Table) -> pa.Table:
+        row, element, weight = weighted(*utf8(t["text"].combine_chunks()))
+        cut = np.searchsorted(row, np.arange(t.num_rows + 1))
+        rep, component, side = (t[c].to_numpy() for c in ("rep", "component", "side"))
+        good = similarities([(element[x:y], weight[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], threshold)
+        good &= component[:, None] != component[None]
+        if t["lo"][0].as_py() != t["hi"][0].as_py():
+            good &= side[:, None] != side[None]
+        root = {c: c for c in component.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        links = []
+        for i, j in zip(*np.nonzero(np.triu(good)), strict=True):
+            x, y = top(int(component[i])), top(int(component[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                links.append((rep[i], rep[j]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return dealt.join(texts, dealt.rep == texts.uid).select("key", "lo", "hi", "side", "rep", "component", "text").groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) and kept for every row of docs.
 
@@ -154,11 +214,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     joined = components(links)
     # candidates that lie in different components and were not compared
     placed = members.join(joined, members.rep == joined.node, "left").select("key", "rep", "lead", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = placed.where("rep <> lead").join(mixed, "key", "left_semi")
-    x, y = rest.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), rest.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).where("c0 < c1").select("key", "n")
+    rest = placed.where("rep <> lead").join(mixed, "key").select("key", "rep", "component", "n")
+    small = rest.where(F.col("n") <= LARGE)
+    x, y = small.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), small.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
     others = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    late = checkpoint(verify(others, texts, threshold))
+    late = checkpoint(verify(others, texts, threshold).union(tiles(rest.where(F.col("n") > LARGE), texts, threshold)))
     if late.limit(1).count():
         joined = components(links.union(late))
     where = classes.join(joined, classes.rep == joined.node, "left").select("p1", "p2", "n", "least", F.coalesce("component", "rep").alias("component"))
