@@ -254,7 +254,7 @@ def removals(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Keyed documents and their packed runs, both with the buckets of documents."""
     spark = docs.sparkSession
     doc_buckets = 2 * shuffle_partitions(spark) + 1
-    buckets = 2 * shuffle_partitions(spark)
+    buckets = shuffle_partitions(spark)
     repeated = len(docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()) > 0
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
