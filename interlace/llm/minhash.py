@@ -153,7 +153,7 @@ def similarities(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) ->
     return good
 
 
-def tiles(rows: DataFrame, texts: DataFrame, threshold: float, block: int = 128) -> DataFrame:
+def tiles(rows: DataFrame, texts: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     """Links (a, b) between components within large buckets (key, rep, component, n), enough to join what is similar.
 
     A bucket is cut into blocks, and a tile holds two of them; it emits a spanning forest at most.
