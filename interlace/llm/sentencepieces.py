@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 BLANK = "▁"
 CHUNK = re.compile(f"{BLANK}+[^{BLANK}\n]*|\n[^{BLANK}\n]*|[^{BLANK}\n]+")
 #: Chunks kept by each Python worker; beyond that the memory is started anew.
-CACHE = 300_000
+CACHE = 600_000
 
 
 class CharacterMap:
@@ -72,7 +72,7 @@ class CharacterMap:
 
 
 class Encoder:
-    """Chunk -> (ids joined by commas, number of ids, decoded bytes, where its pieces begin in it, bytes)."""
+    """Chunk -> (ids joined by commas, decoded bytes, bytes of each piece)."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -101,10 +101,9 @@ class Encoder:
             data = self.byte.get(i) or self.pieces[i].encode()
             sizes.append(len(data))
             decoded.append(data.replace(BLANK.encode(), b" ") if i not in self.byte else data)
-        begins = np.cumsum([0, *sizes[:-1]]) if len(sizes) else np.zeros(0, np.int64)
         if len(self.known) >= CACHE:
             self.known.clear()
-        self.known[chunk] = found = (",".join(map(str, ids)), len(ids), b"".join(decoded), begins, sum(sizes), ids)
+        self.known[chunk] = found = (",".join(map(str, ids)), b"".join(decoded), bytes(sizes))
         return found
 
     def parts(self, text: str) -> tuple[list[tuple], list[int] | None, bytes]:
@@ -116,8 +115,8 @@ class Encoder:
         """Source byte at which each piece begins."""
         if not parts:
             return np.zeros(0, np.int64)
-        sizes = np.array([p[4] for p in parts])
-        at = np.concatenate([p[3] for p in parts]) + np.repeat(np.cumsum(sizes) - sizes, [p[1] for p in parts])
+        sizes = np.frombuffer(b"".join([p[2] for p in parts]), np.uint8).astype(np.int64)
+        at = np.cumsum(sizes) - sizes
         # in the marked text a blank has three bytes and one stands before the text; literal marks keep their three
         mark = BLANK.encode()
         raw = np.frombuffer(mark + plain.replace(b" ", mark), np.uint8)
@@ -149,7 +148,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
                 found = [e.parts(t or "") for t in part.column(1).to_pylist()]
-                ids = [[i for p in x[0] for i in p[5]] for x in found]
+                ids = [[int(i) for p in x[0] for i in p[0].split(",")] for x in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([e.begins(*x) for x in found], pa.list_(pa.int64()))], ["doc_id", "ids", "begins"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, begins array<long>")
@@ -170,7 +169,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                 for text in batch.column(1).slice(first, 256).to_pylist():
                     parts, source, plain = e.parts(text or "")
                     ids = ",".join([p[0] for p in parts])
-                    decoded = b"".join([p[2] for p in parts])[1:]
+                    decoded = b"".join([p[1] for p in parts])[1:]
                     begins = e.begins(parts, source, plain)
                     out.append((len(begins), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), zlib.crc32(begins.astype("<i8").tobytes())))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
