@@ -91,7 +91,8 @@ class Encoder:
         self.known: dict[str, tuple] = {}
 
     def chunk(self, chunk: str) -> tuple:
-        ids = self.library.encode(chunk[1:] if chunk[0] == BLANK else chunk, num_threads=1)
+        # the library adds no dummy prefix to an empty text
+        ids = [self.blank] if chunk == BLANK else self.library.encode(chunk[1:] if chunk[0] == BLANK else chunk, num_threads=1)
         if chunk[0] != BLANK:
             if ids[0] != self.blank:
                 raise ValueError("a piece spans the dummy prefix and a line break")
