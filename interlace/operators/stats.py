@@ -84,3 +84,21 @@ def glm(df: DataFrame, x: list[str], y: str, cluster: str, link: str = "logit",
     cov = bread @ meat @ bread * (groups / (groups - 1) if groups > 1 else 1)
     out = [(c, round(float(b), 6), round(float(np.sqrt(max(v, 0))), 6), round(float(np.exp(b)), 6)) for c, b, v in zip(x, beta, np.diag(cov), strict=True)]
     return df.sparkSession.createDataFrame(out, "term string, estimate double, error double, ratio double")
+
+
+# The distribution function of a Poisson variable of mean 1, from 0 on.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+
+
+def bootstrap_mean(df: DataFrame, by: list[str], unit: str, value: str, replicates: int) -> DataFrame:
+    """n, mean, and lo and hi, the 2.5 and 97.5 percentiles of means over Poisson resamples of the units.
+
+    A unit's weight in a replicate comes from a hash of both, so a rerun of a lost task draws the same.
+    """
+    drawn = df.select(*by, F.col(value).alias("v"), F.col(unit).alias("u"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "u", "b")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    weight = sum(((F.col("draw") >= p).cast("int") for p in POISSON), F.lit(0))
+    drawn = drawn.withColumn("draw", draw).withColumn("w", weight)
+    means = drawn.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    ends = means.groupBy(*by).agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean")).join(ends, by)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from interlace.functions import text
 from interlace.operators import network, panel, stats
+from interlace.plans import registers
 from interlace.sources.affiliations import BOARD_ROLES, affiliations, firms, persons, seats, sparse_seats, table
 
 SECTORS = (("finance", "ring|bolt"), ("land", "widget|plate"), ("agriculture", "red|green"))
@@ -169,3 +170,6 @@ ORACLES = {
     }.items()
 }
 ORACLES["link_components"] = AFF.replace("WITH aff", "WITH RECURSIVE aff", 1) + ", e AS (SELECT year, person * 2 AS a, firm * 2 + 1 AS b FROM sparse UNION ALL SELECT year, firm * 2 + 1, person * 2 FROM sparse), r AS (SELECT DISTINCT year, a, a AS l FROM e UNION SELECT r.year, e.b, r.l FROM r JOIN e ON e.year = r.year AND e.a = r.a) SELECT year, a AS node, min(l) AS component FROM r GROUP BY ALL"
+
+QUERIES |= registers.QUERIES
+ORACLES |= registers.ORACLES | {k: AFF + v for k, v in registers.ON_VIEW.items()}

@@ -6,7 +6,7 @@ import pytest
 from interlace.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
 
 
 def rows(frame):
