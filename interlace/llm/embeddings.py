@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from interlace.llm.common import checkpoint, components
@@ -61,12 +61,21 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, labels: np.ndarray) -> np.ndarr
     return labels
 
 
-def tile(ids: np.ndarray, raw: np.ndarray, copies: np.ndarray, side: np.ndarray, threshold: float) -> pd.DataFrame:
-    """Rows (id, n, root): links of each vector inside the tile, copies counted, and the root it hangs on."""
-    x = raw / np.linalg.norm(raw, axis=1)[:, None]
+def normed(raw: np.ndarray) -> np.ndarray:
+    """Rows of unit length; they are scaled by their largest component first, so no square over- or underflows."""
+    x = raw / np.abs(raw).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def tile(ids: np.ndarray, raw: np.ndarray, copies: np.ndarray, side: np.ndarray, own: bool, threshold: float) -> pd.DataFrame:
+    """Rows (id, n, root): links of each vector inside the tile, copies counted, and the root it hangs on.
+
+    ``own`` says that the tile is a unit with itself. It can't be told from ``side``: of two units
+    often only one sends rows.
+    """
+    x = normed(raw)
     data = (x, *quantise(x))
     links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    own = not np.any(side)
     left, right = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for p in range(0, len(left), BLOCK):
         for r in range(p if own else 0, len(right), BLOCK):
@@ -84,55 +93,56 @@ def tile(ids: np.ndarray, raw: np.ndarray, copies: np.ndarray, side: np.ndarray,
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, unit: int = UNIT) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors.
 
-    Null, zero and non-finite vectors, and those with null components, link with nothing, and so
-    do vectors whose length differs from the most common one of the sample. Equal vectors link;
-    they are compared once. Repeated ids are vectors of their own with one id between them. A null
-    vec_id counts as a vector whose component_id is null only if it is alone. Other columns are
-    ignored; an empty table gives no rows.
+    Null, zero and non-finite vectors, and those with null components, link with nothing; vectors
+    link only with others of their length. Equal vectors link; they are compared once. Repeated
+    ids are vectors of their own with one id between them. A null vec_id counts as a vector whose
+    component_id is null only if no vector of its component has an id. Other columns are ignored;
+    an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e150))) & F.exists("v", lambda x: x != 0)
+    sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    texts = rows.where("sound").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    distinct = checkpoint(texts)
-    total = distinct.count()
-    if not total:
+    texts = rows.where("sound").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    distinct = checkpoint(texts.select(F.monotonically_increasing_id().alias("id"), F.size("v").alias("dim"), "v", "least", "copies"))
+    lengths = distinct.groupBy("dim").agg(F.count("*").alias("total"))
+    if not lengths.limit(1).collect():
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    dims = distinct.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
-    usable = distinct.where(F.size("v") == dims)
-    pivots = min(PIVOTS, total // unit + 1)
-    sample = usable.orderBy(F.xxhash64("id")).limit(pivots).collect()
-    centre = np.array([r["v"] for r in sample])
-    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    pivots = F.least(F.lit(PIVOTS), F.floor(F.col("total") / unit) + 1)
+    drawn = distinct.select("dim", "id", F.xxhash64("v").alias("h")).withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy("h", "id")))
+    drawn = drawn.join(F.broadcast(lengths), "dim").where(F.col("place") <= pivots).select("id")
+    centres: dict[int, list] = {}
+    for r in distinct.join(F.broadcast(drawn), "id", "left_semi").orderBy(F.xxhash64("v"), "id").select("dim", "v").collect():
+        centres.setdefault(r["dim"], []).append(r["v"])
+    centre = {d: normed(np.array(v)) for d, v in centres.items()}
     reach = float(np.arccos(threshold)) + 1e-6
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array(b["v"].tolist())
-            angle = np.arccos(np.clip(x / np.linalg.norm(x, axis=1)[:, None] @ centre.T, -1, 1))
-            cell = angle.argmin(1)
-            yield pd.DataFrame({"id": b["id"], "copies": b["copies"], "v": b["v"], "cell": cell.astype(np.int32), "near": angle.min(1), "angles": list(angle)})
-
-    placed = checkpoint(usable.mapInPandas(place, "id long, copies long, v array<double>, cell int, near double, angles array<double>"))
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("near").alias("radius")).orderBy("cell").collect()  # at most PIVOTS rows
-    parts = {c["cell"]: c["n"] // unit + 1 for c in cells}
-    shape = spark.createDataFrame(list(parts.items()), "cell int, parts int")
-    # unit (cell, part) of each row; a row visits all units of each cell that is near enough
-    home = placed.join(F.broadcast(shape), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-    near = F.filter(F.array(*[F.struct(F.lit(c["cell"]).alias("cell"), F.lit(parts[c["cell"]]).alias("parts"), F.lit(float(c["radius"]) + reach).alias("far")) for c in cells]), lambda c: F.element_at(F.col("angles"), c["cell"] + 1) <= c["far"])
-    visits = home.select("id", "copies", "v", "cell", "part", F.explode(near).alias("c")).select("id", "copies", "v", "cell", "part", F.col("c.cell").alias("cell2"), F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1)).alias("part2"))
-    mine, other = F.struct("cell", "part"), F.struct(F.col("cell2").alias("cell"), F.col("part2").alias("part"))
-    visits = visits.select("id", "copies", "v", F.least(mine, other).alias("a"), F.greatest(mine, other).alias("b"), (mine > other).cast("int").alias("side"))
+        for batch in batches:
+            for dim, b in batch.groupby("dim"):
+                angle = np.arccos(np.clip(normed(np.array(b["v"].tolist())) @ centre[dim].T, -1, 1))
+                cell = angle.argmin(1)
+                yield pd.DataFrame({"id": b["id"].to_numpy(), "copies": b["copies"].to_numpy(), "v": b["v"].to_numpy(), "dim": b["dim"].to_numpy(), "cell": cell.astype(np.int32), "near": angle.min(1), "angles": list(angle)})
+
+    placed = checkpoint(distinct.select("id", "copies", "v", "dim").mapInPandas(place, "id long, copies long, v array<double>, dim int, cell int, near double, angles array<double>"))
+    # at most PIVOTS rows for each length
+    cells = checkpoint(placed.groupBy("dim", "cell").agg((F.floor(F.count("*") / unit) + 1).cast("int").alias("parts"), (F.max("near") + reach).alias("far")))
+    # unit (cell, part) of each row; a row visits all units of each cell of its length that is near enough
+    home = placed.join(F.broadcast(cells.select("dim", "cell", "parts")), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    other = cells.select("dim", F.col("cell").alias("cell2"), F.col("parts").alias("parts2"), "far")
+    visits = home.join(F.broadcast(other), (home.dim == other.dim) & (F.get("angles", F.col("cell2")) <= F.col("far"))).select("id", "copies", "v", home.dim, "cell", "part", "cell2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)).alias("part2"))
+    mine, met = F.struct("dim", "cell", "part"), F.struct("dim", F.col("cell2").alias("cell"), F.col("part2").alias("part"))
+    visits = visits.select("id", "copies", "v", F.least(mine, met).alias("a"), F.greatest(mine, met).alias("b"), (mine > met).cast("int").alias("side")).withColumn("own", F.col("a") == F.col("b"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("id")
-        return tile(g["id"].to_numpy(), np.array(g["v"].tolist()), g["copies"].to_numpy(), g["side"].to_numpy(), threshold)
+        return tile(g["id"].to_numpy(), np.array(g["v"].tolist()), g["copies"].to_numpy(), g["side"].to_numpy(), bool(g["own"].iloc[0]), threshold)
 
     found = checkpoint(visits.groupBy("a", "b").applyInPandas(run, "id long, n long, root long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    classes = distinct.join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").select("v", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))
+    classes = distinct.join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").select("v", "least", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))
+    first = classes.groupBy("component").agg(F.min("least").alias("first"))
+    classes = classes.join(first, "component").select("v", "copies", "n", "first")
     out = rows.withColumn("key", F.when(F.col("sound"), F.col("v"))).join(classes.withColumnRenamed("v", "key"), "key", "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.coalesce("first", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("n") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
