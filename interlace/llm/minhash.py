@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from interlace.llm.common import ODD, U64, checkpoint, components, mix, release, shingles, slices, utf8, words
@@ -188,21 +188,32 @@ def tiles(rows: DataFrame, texts: DataFrame, threshold: float, block: int = 512)
     return dealt.join(texts, dealt.rep == texts.uid).select("key", "lo", "hi", "side", "rep", "component", "text").groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
+def row_key(docs: DataFrame) -> tuple[Column, bool]:
+    """What tells documents apart: doc_id, or, where ids repeat or are null (second value), id and text."""
+    repeated = len(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).collect()) > 0
+    return F.xxhash64("doc_id", F.isnull("doc_id"), "text", F.isnull("text")) if repeated else F.col("doc_id").cast("long"), repeated
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) and kept for every row of docs.
 
     A class is what links of similarity >= threshold connect. Documents without a word (null and
     empty texts among them) are classes of their own; shorter than five words, a text is one
     shingle of all its words. Repeated rows are equal documents. Null doc_ids are nobody's
-    smallest unless all of a class are null. Other columns are ignored; an empty table gives none.
+    smallest unless all of a class are null. Of a class one document (doc_id and text) is kept. Other
+    columns are ignored; an empty table gives none.
     """
+    return classified(docs, *row_key(docs), threshold).drop("uid")
+
+
+def classified(docs: DataFrame, uid: Column, repeated: bool, threshold: float) -> DataFrame:
+    """near_duplicates() with each row's key."""
     spark = docs.sparkSession
-    repeated = len(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).collect()) > 0
-    uid = F.xxhash64("doc_id", "text") if repeated else F.col("doc_id").cast("long")
     keyed = docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = checkpoint(describe(keyed))
     full = known.where("n > 0")
-    classes = checkpoint(full.groupBy("p1", "p2", "n").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "uid") if repeated else F.col("uid")
+    classes = checkpoint(full.groupBy("p1", "p2", "n").agg(F.min("uid").alias("rep"), F.min(order).alias("least"), F.first("bands").alias("bands")))
     in_bands = classes.select("rep", F.explode("bands").alias("key"))
     groups = in_bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1")
     members = checkpoint(in_bands.join(groups, "key").select("key", "rep", "lead"))
@@ -223,16 +234,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     if late.limit(1).count():
         joined = components(links.union(late))
     where = classes.join(joined, classes.rep == joined.node, "left").select("p1", "p2", "n", "least", F.coalesce("component", "rep").alias("component"))
-    least = where.groupBy("component").agg(F.min("least").alias("class_id"))
-    by_class = where.join(least, "component").select("p1", "p2", "n", "class_id")
-    alone = known.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    out = full.join(by_class, ["p1", "p2", "n"]).select("doc_id", "class_id").union(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    least = where.groupBy("component").agg(F.min("least").alias("least"))
+    class_id, keeper = (F.col("least.doc_id"), F.col("least.uid")) if repeated else (F.col("least"),) * 2
+    by_class = where.drop("least").join(least, "component").select("p1", "p2", "n", class_id.alias("class_id"), keeper.alias("keeper"))
+    alone = known.where("n = 0").select("uid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return full.join(by_class, ["p1", "p2", "n"]).select("uid", "doc_id", "class_id", (F.col("uid") == F.col("keeper")).alias("kept")).union(alone)
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs with all their columns, but of each class only its smallest doc_id, once."""
-    drop = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("dropped__"))
-    kept = docs.join(drop, docs.doc_id.eqNullSafe(drop.dropped__), "left_anti")
-    repeated = len(docs.groupBy("doc_id").count().where("count > 1").limit(1).collect()) > 0
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """The rows of docs with all their columns, but of each class only one document, of its smallest doc_id, once."""
+    uid, repeated = row_key(docs)
+    drop = classified(docs, uid, repeated, threshold).where("not kept").select(F.col("uid").alias("dropped__"))
+    kept = docs.withColumn("uid__", uid).join(drop, F.col("uid__") == drop.dropped__, "left_anti")
+    return (kept.dropDuplicates(["uid__"]) if repeated else kept).drop("uid__")
