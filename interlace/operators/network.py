@@ -110,9 +110,10 @@ def components(ties: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def paths(group: pd.DataFrame) -> pd.DataFrame:
-    """Betweenness (Brandes) and closeness with component scaling for one connected component.
+    """Betweenness (Brandes) and closeness with component scaling, from the sources of one block of a connected component.
 
-    ``size`` holds the number of nodes of the whole wave, which both are scaled by.
+    ``size`` holds the number of nodes of the whole wave, which both are scaled by. Betweenness is
+    the block's share, for all nodes; closeness is null for nodes that are no sources here.
     """
     near: dict[int, list[int]] = {}
     for a, b in zip(group["a"], group["b"], strict=True):
@@ -120,7 +121,8 @@ def paths(group: pd.DataFrame) -> pd.DataFrame:
     n = int(group["size"].iloc[0])
     between = dict.fromkeys(near, 0.0)
     close = {}
-    for s in near:
+    block, blocks = int(group["block"].iloc[0]), int(group["blocks"].iloc[0])
+    for s in [v for i, v in enumerate(sorted(near)) if i % blocks == block]:
         order, before = [], {v: [] for v in near}
         count, far = dict.fromkeys(near, 0.0), {s: 0}
         count[s] = 1.0
@@ -144,18 +146,21 @@ def paths(group: pd.DataFrame) -> pd.DataFrame:
             if w != s:
                 between[w] += lean[w]
     scale = (n - 1) * (n - 2)
-    return pd.DataFrame({"year": group["year"].iloc[0], "node": list(near), "betweenness": [round(between[v] / scale, 6) if scale > 0 else 0.0 for v in near], "closeness": [round(close[v], 6) for v in near]})
+    return pd.DataFrame({"year": group["year"].iloc[0], "node": list(near), "betweenness": [between[v] / scale if scale > 0 else 0.0 for v in near], "closeness": [close.get(v) for v in near]})
 
 
-def centralities(ties: DataFrame) -> DataFrame:
-    """Path measures of the two-mode graph, one task for each component, since paths never leave one."""
+def centralities(ties: DataFrame, sources: int = 256) -> DataFrame:
+    """Path measures of the two-mode graph: paths never leave a component, and a task has about so many of its sources."""
     c = components(ties)
     size = c.groupBy("year").agg(F.count("*").alias("size"))
     p, f = F.col("person") * 2, F.col("firm") * 2 + 1
     e = ties.select("year", p.alias("a"), f.alias("b"))
     e = e.union(e.select("year", F.col("b").alias("a"), F.col("a").alias("b")))
     e = e.join(c.withColumnRenamed("node", "a"), ["year", "a"]).join(size, "year")
-    return e.groupBy("year", "component").applyInPandas(paths, "year long, node long, betweenness double, closeness double")
+    blocks = c.groupBy("year", "component").agg((F.floor((F.count("*") - 1) / sources) + 1).cast("int").alias("blocks"))
+    e = e.join(blocks, ["year", "component"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shares = e.groupBy("year", "component", "block").applyInPandas(paths, "year long, node long, betweenness double, closeness double")
+    return shares.groupBy("year", "node").agg(F.round(F.sum("betweenness"), 6).alias("betweenness"), F.round(F.max("closeness"), 6).alias("closeness"))
 
 
 def transitions(ties: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ QUERIES = {
     "network_summary": lambda s, d: network.summary(seats(s, d)),
     "pooled_edges": lambda s, d: network.pooled(seats(s, d), list(range(1995, 2002))),
     "link_components": lambda s, d: network.components(sparse_seats(s, d)),
-    "path_centralities": lambda s, d: network.centralities(sparse_seats(s, d)),
+    "path_centralities": lambda s, d: network.centralities(seats(s, d)),
     "transition_table": lambda s, d: network.transitions(seats(s, d)),
     "change_statistics": lambda s, d: network.change_statistics(seats(s, d), persons(s, d)),
     "closure_design": lambda s, d: network.closure(seats(s, d)),
@@ -72,6 +72,17 @@ QUERIES = {
     "scan_distances": lambda s, d: _name_pairs(s, d),
 }
 
+#: The measures that the queries of these names take on a thinned graph, on the whole one.
+QUERIES |= {
+    "waves_histogram_whole": lambda s, d: panel.waves_histogram(seats(s, d), "firm"),
+    "risk_set_whole": lambda s, d: panel.risk_set(seats(s, d)),
+    "life_table_whole": lambda s, d: panel.life_table(panel.risk_set(seats(s, d))),
+    "square_clustering_whole": lambda s, d: network.square_clustering(seats(s, d), "person", "firm"),
+    "burt_and_effective_size_whole": lambda s, d: network.constraint_and_size(network.projection(seats(s, d), "person", "firm")),
+    "open_share_whole": lambda s, d: network.open_share(network.projection(seats(s, d), "person", "firm")),
+    "link_components_whole": lambda s, d: network.components(seats(s, d)),
+}
+
 
 def _name_pairs(s: SparkSession, d: str) -> DataFrame:
     """Names that share their last token's key, blocked on it, with their distance."""
