@@ -14,7 +14,7 @@ def stratified_gap(df: DataFrame, cells: list[str], group: str, y: str, min_cell
     return c.agg(F.count("*").alias("cells"), F.round(F.try_divide(F.sum((F.col("y1") - F.col("y0")) * F.col("w")), F.sum("w")), 6).alias("gap"))
 
 
-def permutation_null(df: DataFrame, cells: list[str], group: str, y: str, key: list[str], draws: int = 50, min_cell: int = 5, seed: int = 7) -> DataFrame:
+def permutation_null(df: DataFrame, cells: list[str], group: str, y: str, key: list[str], draws: int = 2000, min_cell: int = 5, seed: int = 7) -> DataFrame:
     """The gap and its share of draws at least as large, labels being dealt anew within cells.
 
     Draws are keyed by a hash of (seed, draw, key), so they don't depend on partitioning.

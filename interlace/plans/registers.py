@@ -127,6 +127,8 @@ QUERIES = {f.__name__: f for f in (page_split, page_asof, labelled_fields, name_
 QUERIES["entity_summary"] = lambda s, d: linkage.summary(part_mentions(s, d), "E")
 QUERIES["audit_variants"] = lambda s, d: linkage.audit(part_mentions(s, d))
 QUERIES["bootstrap_mean"] = lambda s, d: bootstrap_mean(s, d)
+#: As often as the reference; the SQL of bootstrap_mean has 50 replicates.
+QUERIES["bootstrap_mean_2000"] = lambda s, d: bootstrap_mean(s, d, 2000)
 QUERIES["skeleton_groups"] = lambda s, d: table(s, d, "part").select("p_name", text.skeleton(F.col("p_name")).alias("skeleton")).groupBy("skeleton").agg(F.countDistinct("p_name").alias("names"), F.count("*").alias("mentions"))
 
 
