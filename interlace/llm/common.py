@@ -47,6 +47,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like these that aren't taken, whatever their case."""
+    used = {name.lower() for name in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def repeated_ids(docs: DataFrame) -> bool:
+    """Whether doc_ids repeat or are null."""
+    return len(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).collect()) > 0
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column in one array, and where each row begins (one more at the end)."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
