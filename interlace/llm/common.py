@@ -129,18 +129,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ever aggregated to a minimum before they are joined back, so a hot node splits like any
     other skewed join side.
     """
-    e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    digest = lambda edges: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    # edges only become fewer: no more partitions than they fill
+    fitting = lambda df, rows: checkpoint(df.distinct().coalesce(1 + rows // 250_000))
+    e = fitting(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), edges.count())
+    was = digest(e)
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        step = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        same = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        was = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = step
-        if same == was:
+        e, before = fitting(small.union(low.select("u", F.col("m").alias("v"))), was[0]), was
+        was = digest(e)
+        if before == was:
             break
     else:
         raise RuntimeError("components did not settle")

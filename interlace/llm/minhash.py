@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from interlace.llm.common import ODD, U64, checkpoint, components, mix, release, shingles, slices, utf8, words
+from interlace.llm.common import ODD, U64, checkpoint, components, fresh, mix, release, repeated_ids, shingles, slices, utf8, words
 
 #: 24 bands of 4 components miss a pair at similarity 0.8 in 3 of a million cases.
 BANDS, WIDTH = 24, 4
 SIZE = BANDS * WIDTH
 #: Buckets with more members are compared in tiles, smaller ones pair by pair.
 LARGE = 32
+#: Repeats of a shingle up to which a tile compares sets by matrix products; sets beyond go pair by pair.
+LAYERS = 4
 
 
 def weighted(raw: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +92,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(sum(share / (np.maximum(x, c * y).sum() + alone_x + c * alone_y) for c, share in zip(ratios, shares, strict=True)))
 
 
+def reaches(value, threshold: float):
+    """The comparison of every path: similarities are sums of fractions, equal up to rounding."""
+    return value >= threshold - 1e-9
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """uid, doc_id, p1, p2, n (digests and size of the weighted set) and band keys of each row."""
 
@@ -125,31 +132,64 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 cut = np.searchsorted(row, np.arange(len(index) + 1))
                 sets = [(element[x:y], weight[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 n = part.num_rows
-                good = [similarity(sets[inverse[i]], sets[inverse[n + i]]) >= threshold for i in range(n)]
+                good = [reaches(similarity(sets[inverse[i]], sets[inverse[n + i]]), threshold) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([part["a"], part["b"]], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def similarities(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
-    """Which pairs of a block are similar enough. Sets without repeats are compared by one product of 0/1 rows."""
-    n, size = len(sets), np.array([w.sum() for _, w in sets], float)
-    row = np.repeat(np.arange(n), [len(e) for e, _ in sets])
+def similarities(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, left: np.ndarray, right: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the wanted pairs of a left and a right set are similar enough.
+
+    For weights u and v, a product of 0/1 rows counts the shared elements that weigh u on the left
+    and v on the right, and the similarity is a function of these counts. Sets with an element that
+    weighs more than LAYERS are compared one by one, where the weight of what is shared, which
+    bounds the similarity from above, allows.
+    """
+    size = np.array([w.sum() for _, w in sets], float)
+    row = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+    weight = np.concatenate([w for _, w in sets])
     _, column, times = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True, return_counts=True)
-    shared = times > 1
-    place = np.cumsum(shared) - 1
-    hit = shared[column]
-    common = np.zeros((n, n), np.float32)
-    for at in range(0, int(shared.sum()), 4096):
-        here = hit & (place[column] >= at) & (place[column] < at + 4096)
-        grid = np.zeros((n, 4096), np.float32)
-        grid[row[here], place[column[here]] - at] = 1
-        common += grid @ grid.T
-    good = common >= threshold * (size[:, None] + size[None] - common) - 1e-9
-    plain = np.array([bool((w == 1).all()) for _, w in sets])
-    for i in np.flatnonzero(~plain):
-        for j in np.flatnonzero((common[i] > 0) & (plain | (np.arange(n) > i))):
-            good[i, j] = good[j, i] = similarity(sets[i], sets[j]) >= threshold
+    most = np.zeros(len(times), np.int64)
+    np.maximum.at(most, column, weight)
+    odd = np.zeros(len(sets), bool)
+    odd[row[weight > LAYERS]] = True
+    layers = range(1, LAYERS + 1)
+    counts = {(u, v): np.zeros((len(left), len(right))) for u in layers for v in layers}
+    by_weight = np.zeros((2, len(left), len(right)))  # what is shared, as the left and as the right weigh it
+    for repeated in (False, True):
+        chosen = (times > 1) & ((most > 1) == repeated)
+        place = np.cumsum(chosen) - 1
+        for at in range(0, int(chosen.sum()), 4096):
+            here = chosen[column] & (place[column] >= at) & (place[column] < at + 4096)
+            r, k, w = row[here], place[column[here]] - at, weight[here]
+            grids = []
+            for u in layers if repeated else (1,):
+                grid = np.zeros((len(sets), min(4096, int(chosen.sum()) - at)), np.float32)
+                grid[r[w == u], k[w == u]] = 1
+                grids.append((u, grid[left], grid[right]))
+            for u, x, _ in grids:
+                for v, _, y in grids:
+                    counts[u, v] += x @ y.T
+            if odd.any():
+                grid = np.zeros((2, len(sets), min(4096, int(chosen.sum()) - at)), np.float32)
+                grid[0, r, k], grid[1, r, k] = 1, w
+                by_weight[0] += grid[1, left] @ grid[0, right].T
+                by_weight[1] += grid[0, left] @ grid[1, right].T
+    counts = {uv: n for uv, n in counts.items() if n.any()}
+    alone_x = size[left][:, None] - sum(u * n for (u, _), n in counts.items())
+    alone_y = size[right][None] - sum(v * n for (_, v), n in counts.items())
+    total = np.zeros((len(left), len(right)))
+    for c in {u / v for u, v in counts}:
+        share = sum(u * n for (u, v), n in counts.items() if u / v == c)
+        total += share / np.maximum(sum(n * max(u, c * v) for (u, v), n in counts.items()) + alone_x + c * alone_y, 1e-300)
+    good = wanted & reaches(total, threshold)
+    if odd.any():
+        one_by_one = wanted & (odd[left][:, None] | odd[right][None])
+        good &= ~one_by_one
+        bound = np.minimum(by_weight[0] / size[left][:, None], by_weight[1] / size[right][None])
+        for i, j in zip(*np.nonzero(one_by_one & reaches(bound, threshold)), strict=True):
+            good[i, j] = reaches(similarity(sets[left[i]], sets[right[j]]), threshold)
     return good
 
 
@@ -166,10 +206,25 @@ def tiles(rows: DataFrame, texts: DataFrame, threshold: float, block: int = 512)
         row, element, weight = weighted(*utf8(t["text"].combine_chunks()))
         cut = np.searchsorted(row, np.arange(t.num_rows + 1))
         rep, component, side = (t[c].to_numpy() for c in ("rep", "component", "side"))
-        good = similarities([(element[x:y], weight[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], threshold)
-        good &= component[:, None] != component[None]
-        if t["lo"][0].as_py() != t["hi"][0].as_py():
-            good &= side[:, None] != side[None]
+        sets = [(element[x:y], weight[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        # most rows of a large bucket lie in one component already: pairs within it aren't computed
+        values, counts = np.unique(component, return_counts=True)
+        minor = component != values[counts.argmax()]
+        if t["lo"][0].as_py() == t["hi"][0].as_py():
+            sides = [(minor, np.ones(t.num_rows, bool))]
+        else:
+            sides = [((side == 0) & minor, side == 1), ((side == 0) & ~minor, (side == 1) & minor)]
+        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for left, right in (map(np.flatnonzero, x) for x in sides):
+            wanted = component[left][:, None] != component[right][None]
+            if wanted.any():
+                x, y = np.nonzero(similarities(sets, threshold, left, right, wanted))
+                i.append(left[x])
+                j.append(right[y])
+        i, j = np.concatenate(i), np.concatenate(j)
+        # one pair for each two components, then a forest of these
+        ends = np.sort(np.stack([component[i], component[j]], 1), 1)
+        _, firsts = np.unique(ends, axis=0, return_index=True)
         root = {c: c for c in component.tolist()}
 
         def top(c: int) -> int:
@@ -178,11 +233,11 @@ def tiles(rows: DataFrame, texts: DataFrame, threshold: float, block: int = 512)
             return c
 
         links = []
-        for i, j in zip(*np.nonzero(np.triu(good)), strict=True):
-            x, y = top(int(component[i])), top(int(component[j]))
+        for k in firsts:
+            x, y = top(int(ends[k, 0])), top(int(ends[k, 1]))
             if x != y:
                 root[max(x, y)] = min(x, y)
-                links.append((rep[i], rep[j]))
+                links.append((rep[i[k]], rep[j[k]]))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return dealt.join(texts, dealt.rep == texts.uid).select("key", "lo", "hi", "side", "rep", "component", "text").groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
@@ -190,7 +245,7 @@ def tiles(rows: DataFrame, texts: DataFrame, threshold: float, block: int = 512)
 
 def row_key(docs: DataFrame) -> tuple[Column, bool]:
     """What tells documents apart: doc_id, or, where ids repeat or are null (second value), id and text."""
-    repeated = len(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).collect()) > 0
+    repeated = repeated_ids(docs)
     return F.xxhash64("doc_id", F.isnull("doc_id"), "text", F.isnull("text")) if repeated else F.col("doc_id").cast("long"), repeated
 
 
@@ -232,7 +287,14 @@ def classified(docs: DataFrame, uid: Column, repeated: bool, threshold: float) -
     others = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
     late = checkpoint(verify(others, texts, threshold).union(tiles(rest.where(F.col("n") > LARGE), texts, threshold)))
     if late.limit(1).count():
-        joined = components(links.union(late))
+        # the graph of components that late links join, and each node's component in it
+        ends = late
+        for side in ("a", "b"):
+            ends = ends.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(side, F.coalesce(f"c{side}", side)).drop(f"c{side}")
+        above = components(ends).toDF("component", "top")
+        known_nodes = joined.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        # nodes that had no link before
+        joined = known_nodes.union(above.join(joined, above.component == joined.node, "left_anti").select("component", "top"))
     where = classes.join(joined, classes.rep == joined.node, "left").select("p1", "p2", "n", "least", F.coalesce("component", "rep").alias("component"))
     least = where.groupBy("component").agg(F.min("least").alias("least"))
     class_id, keeper = (F.col("least.doc_id"), F.col("least.uid")) if repeated else (F.col("least"),) * 2
@@ -244,6 +306,7 @@ def classified(docs: DataFrame, uid: Column, repeated: bool, threshold: float) -
 def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs with all their columns, but of each class only one document, of its smallest doc_id, once."""
     uid, repeated = row_key(docs)
-    drop = classified(docs, uid, repeated, threshold).where("not kept").select(F.col("uid").alias("dropped__"))
-    kept = docs.withColumn("uid__", uid).join(drop, F.col("uid__") == drop.dropped__, "left_anti")
-    return (kept.dropDuplicates(["uid__"]) if repeated else kept).drop("uid__")
+    own, dropped = fresh(docs.columns, "uid", "dropped")
+    drop = classified(docs, uid, repeated, threshold).where("not kept").select(F.col("uid").alias(dropped))
+    kept = docs.withColumn(own, uid).join(drop, F.col(own) == F.col(dropped), "left_anti")
+    return (kept.dropDuplicates([own]) if repeated else kept).drop(own)

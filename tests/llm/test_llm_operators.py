@@ -87,9 +87,14 @@ def test_minhash(spark):
 
 def test_tiles_find_what_pairs_find():
     rng = np.random.default_rng(0)
-    sets = [(np.sort(rng.choice(30, 20, replace=False)).astype(np.uint64), rng.integers(1, 3, 20) if i % 3 else np.ones(20, int)) for i in range(30)]
-    good = minhash.similarities(sets, 0.5)
-    assert all(good[i, j] == (minhash.similarity(sets[i], sets[j]) >= 0.5) for i in range(30) for j in range(30) if i != j)
+    for most in (1, 3, 9):
+        sets = [(np.sort(rng.choice(30, 20, replace=False)).astype(np.uint64), rng.integers(1, most + 1, 20) if i % 3 else np.ones(20, int)) for i in range(40)]
+        sets += [(e[:18], w[:18]) for e, w in sets[:10]]
+        left, right = np.arange(30), np.arange(20, 50)
+        wanted = rng.random((30, 30)) < 0.8
+        good = minhash.similarities(sets, 0.5, left, right, wanted)
+        want = [[bool(wanted[i, j]) and minhash.similarity(sets[left[i]], sets[right[j]]) >= 0.5 - 1e-9 for j in range(30)] for i in range(30)]
+        assert good.tolist() == want and 0 < good.sum() < wanted.sum()
 
 
 def _utf8(texts):
