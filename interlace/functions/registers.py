@@ -33,13 +33,17 @@ def field(text: Column, label: str) -> Column:
     return F.when(found != "", found)
 
 
+# How currencies are printed, without points and blanks, and their codes.
+CURRENCIES = {"LE": "LE", "£E": "LE", "E": "LE", "£": "GBP", "FR": "FRF", "FRS": "FRF", "FRANC": "FRF", "FRANCS": "FRF", "$": "USD", "PT": "PT"}
+
+
 def money(text: Column) -> Column:
-    """struct(currency, amount): thousands parted by blanks or points, decimals by a comma."""
-    digits = F.regexp_extract(text, r"(\d[\d .]*(?:,\d+)?)", 1)
-    amount = F.translate(F.regexp_replace(digits, r"[ .]", ""), ",", ".").try_cast("double")
-    code = F.upper(F.regexp_extract(text, r"(?i)\b(L\.?E|£|fr(?:ancs)?|frs|\$|usd)", 1))
-    currency = F.when(code.isin("LE", "L.E"), "EGP").when(code == "£", "GBP").when(code.startswith("FR"), "FRF").when(code.isin("$", "USD"), "USD")
-    return F.struct(currency.alias("currency"), amount.alias("amount"))
+    """struct(currency, amount): an amount after its currency; blanks, points, commas and apostrophes part thousands."""
+    amount = r"(?i)(L\.?\s*E\.?|£\s*E\.?|£|P\.?\s*T\.?|francs?|frs?\.?|\$)\s*(\d[\d .,']*)"
+    printed = F.upper(F.regexp_replace(F.regexp_extract(text, amount, 1), "[. ]", ""))
+    digits = F.regexp_replace(F.regexp_extract(text, amount, 2), "[ .,']", "")
+    code = F.coalesce(*[F.when(printed == name, value) for name, value in CURRENCIES.items()])
+    return F.struct(code.alias("currency"), digits.try_cast("double").alias("amount"))
 
 
 def name_list(text: Column) -> Column:

@@ -30,9 +30,19 @@ TOKEN_RULES = (
     (r"(.)\1+", "$1"),
 )
 ACCENTED, PLAIN = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-# Letters that a scan confuses share one class.
-CONFUSED, CLASSES = "il1j|o0qceunmrvwhb", "iiiiioooocnnnnvvhh"
-CHEAP = {frozenset(p) for p in ("il", "ij", "lj", "oc", "oe", "ce", "un", "nm", "nr", "mr", "vw", "hb")}
+# Letters that a scan confuses, class by class, after the letter that stands for the class.
+SKELETON_CLASSES = {"i": "iltj1|!¡íìîïĺf", "c": "ceoa0œéèêëàâäôöòó", "n": "numh", "s": "s58$§", "b": "bk", "g": "g9q", "v": "vwy"}
+# Pairs of letters whose exchange is cheap.
+CHEAP_PAIRS = (
+    "il it lt l1 i1 ij jl if fl ft ce co eo ea ao nu nm mu hn hb sf s5 s8 b6 bh g9 gq "
+    "vy vw uv rn cd pd db e1 el 0o 0c 8b"
+).split()
+CHEAP = {frozenset(p) for p in CHEAP_PAIRS}
+# Words of names that carry no signal, legal forms, and words that tell no firm from another.
+PARTICLES = "de di da del della van von el al abu abou ibn ben".split()
+LEGAL_FORMS = ("societe anonyme egyptienne", "compagnie egyptienne", "societe egyptienne", "company limited", "societe anonyme", "company ltd", "compagnie", "limited", "societe", "the", "ltd")
+COMPANY_ARTICLES = "de des du d la le les l et of and for pour en a au aux".split()
+COMPANY_STOPWORDS = "co cy cie ltd limited sae sa ste the of and et de du des la le les l d en pour company societe compagnie egypt egypte".split()
 
 
 def fold(text: Column) -> Column:
@@ -45,14 +55,35 @@ def token_key(token: Column) -> Column:
     return reduce(lambda c, rule: F.regexp_replace(c, F.lit(rule[0]), F.lit(rule[1])), TOKEN_RULES, start)
 
 
-def name_key(name: Column, particles: tuple[str, ...] = ("de", "la", "le", "el", "von")) -> Column:
+def name_key(name: Column, particles: tuple[str, ...] = tuple(PARTICLES)) -> Column:
     """Keys of a name's tokens; particles and single letters are dropped."""
     parts = F.filter(F.split(F.lower(fold(name)), r"[\s'’.-]+"), lambda t: ~t.isin(*particles) & (F.length(t) > 1))
     return F.array_join(F.transform(parts, token_key), " ")
 
 
-def skeleton(text: Column) -> Column:
-    return F.translate(F.replace(F.lower(fold(text)), F.lit(" "), F.lit("")), CONFUSED, CLASSES)
+def company_key(name: Column) -> Column:
+    """A firm's name without accents, punctuation, legal forms and articles."""
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    plain = squeeze(F.regexp_replace(F.lower(fold(name)), "[^a-z0-9 ]", " "))
+    plain = F.regexp_replace(plain, r"\b(?:" + "|".join(LEGAL_FORMS) + r")\b", " ")
+    return squeeze(F.regexp_replace(plain, r"\b(?:" + "|".join(COMPANY_ARTICLES) + r")\b", " "))
+
+
+def company_tokens(name: Column) -> Column:
+    """Words that tell a firm from others: two letters at least, no stopword."""
+    return F.filter(F.split(company_key(name), " "), lambda t: (F.length(t) > 1) & ~t.isin(COMPANY_STOPWORDS))
+
+
+def company_letters(name: Column) -> Column:
+    return F.array_join(company_tokens(name), "")
+
+
+def skeleton(name: Column) -> Column:
+    """A firm's letters in classes that a scan confuses; of a name of stopwords only, all its letters."""
+    key = company_key(name)
+    kept = F.array_join(F.filter(F.split(key, " "), lambda t: ~t.isin(COMPANY_STOPWORDS)), "")
+    letters = F.when(kept != "", kept).otherwise(F.replace(key, F.lit(" "), F.lit("")))
+    return F.translate(letters, "".join(SKELETON_CLASSES.values()), "".join(k * len(v) for k, v in SKELETON_CLASSES.items()))
 
 
 def is_header(line: Column) -> Column:
@@ -92,16 +123,23 @@ def distance(a: str, b: str) -> float:
     if not a or not b:
         return 1.0
     row = np.arange(len(b) + 1.0)
+    steps = np.arange(len(b) + 1.0)
     for i, x in enumerate(a, 1):
         new = np.empty_like(row)
         new[0] = i
-        for j, y in enumerate(b, 1):
-            cost = 0.0 if x == y else 0.3 if frozenset((x, y)) in CHEAP else 1.0
-            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + cost)
-        row = new
+        cost = np.array([0.0 if x == y else 0.3 if frozenset((x, y)) in CHEAP else 1.0 for y in b])
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + cost)
+        # insertions run along the row: the least of what stands before, plus the steps from there
+        row = np.minimum.accumulate(new - steps) + steps
     return float(row[-1]) / max(len(a), len(b))
 
 
+def extra_word(a: list[str], b: list[str], most: float = 0.50, least: int = 4) -> bool:
+    """Whether a word of four letters or more has no counterpart within that distance in the other name."""
+    a, b = ([t for t in side if len(t) >= least] for side in (a, b))
+    return bool(a and b) and any(min(distance(t, o) for o in other) > most for side, other in ((a, b), (b, a)) for t in side)
+
+
 def scan_distance(a: str, b: str) -> Column:
     """distance() of two columns, by Arrow batches."""
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from interlace.functions.text import distance, indel_ratio
+from interlace.functions.text import distance, extra_word, indel_ratio
 
 
 def initials_agree(a: Column, b: Column) -> Column:
@@ -149,3 +149,24 @@ def complete_linkage(pairs: DataFrame, names: DataFrame, most: float = 0.30) ->
 
     merged = rows.groupBy("root").applyInPandas(run, "k string, merged string")
     return placed.select(F.col("node").alias("k")).join(merged, "k", "left").select("k", F.coalesce("merged", "k").alias("root"))
+
+
+def confirmed(pairs: DataFrame, firms: DataFrame, most: float = 0.20, near: float = 0.10, letters: int = 8) -> DataFrame:
+    """a, b, distance of candidate pairs of skeletons whose firms(k, letters, tokens) are close enough.
+
+    Both names have ``letters`` letters at least. A word that one name has and the other lacks
+    parts them, unless the names are within ``near`` of each other.
+    """
+    side = lambda x: firms.select(F.col("k").alias(x), F.col("letters").alias(f"letters_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.least(F.length("letters_a"), F.length("letters_b")) >= letters)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            rows = []
+            for x, y, p, q in zip(t["letters_a"], t["letters_b"], t["tokens_a"], t["tokens_b"], strict=True):
+                d = distance(x, y)
+                if d <= most and (d <= near or not extra_word(list(p), list(q))):
+                    rows.append((min(x, y), max(x, y), d))
+            yield pd.DataFrame(rows, columns=["a", "b", "distance"]).astype({"distance": float})
+
+    return both.select("letters_a", "letters_b", "tokens_a", "tokens_b").mapInPandas(run, "a string, b string, distance double").where("a <> b").distinct()

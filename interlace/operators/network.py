@@ -106,6 +106,8 @@ def components(ties: DataFrame, rounds: int = 40) -> DataFrame:
         label = step
         if not moved:
             break
+    else:
+        raise RuntimeError("components did not settle")
     return label.select("year", F.col("a").alias("node"), F.col("l").alias("component"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from interlace.functions import text
 from interlace.operators import network, panel, stats
-from interlace.plans import registers
+from interlace.plans import measures, registers
 from interlace.sources.affiliations import BOARD_ROLES, affiliations, firms, persons, seats, sparse_seats, table
 
 SECTORS = (("finance", "ring|bolt"), ("land", "widget|plate"), ("agriculture", "red|green"))
@@ -184,3 +184,5 @@ ORACLES["link_components"] = AFF.replace("WITH aff", "WITH RECURSIVE aff", 1) +
 
 QUERIES |= registers.QUERIES
 ORACLES |= registers.ORACLES | {k: AFF + v for k, v in registers.ON_VIEW.items()}
+QUERIES |= measures.QUERIES
+ORACLES |= measures.ALONE | {k: AFF + v for k, v in measures.ON_VIEW.items()} | {k: AFF.replace("WITH aff", "WITH RECURSIVE aff", 1) + v for k, v in measures.RECURSIVE.items()}

@@ -100,10 +100,11 @@ def person_linkage(s: SparkSession, d: str) -> DataFrame:
 
 def company_linkage(s: SparkSession, d: str) -> DataFrame:
     m = part_mentions(s, d).select("name", "year", text.skeleton(F.col("name")).alias("k"))
-    names = m.select("k").distinct()
-    near = linkage.scan_candidates(names).withColumn("distance", text.scan_distance("a", "b")).where("distance <= 0.2 and least(length(a), length(b)) >= 8")
-    root = linkage.complete_linkage(near, names)
-    return linkage.summary(m.join(root, "k").select("root", "name", "year"), "C")
+    firms = m.groupBy("k").agg(F.min("name").alias("first")).select("k", text.company_letters(F.col("first")).alias("letters"), text.company_tokens(F.col("first")).alias("tokens"))
+    near = linkage.confirmed(linkage.scan_candidates(firms), firms)
+    root = linkage.complete_linkage(near, firms.select(F.col("letters").alias("k"))).withColumnRenamed("k", "letters")
+    placed = m.join(firms.select("k", "letters"), "k").join(root, "letters")
+    return linkage.summary(placed.select("root", "name", "year"), "C")
 
 
 def bootstrap_mean(s: SparkSession, d: str, replicates: int = 50) -> DataFrame:
@@ -144,7 +145,7 @@ _MENTIONS = "WITH m AS (SELECT string_split(p_name, ' ')[-1] AS root, p_name AS
 ORACLES = {
     "page_split": "SELECT conv_id, CAST(turn AS BIGINT) AS page, length(trim(coalesce(text, ''), ' ')) AS chars, md5(trim(coalesce(text, ''), ' ')) AS body_md5 FROM conversations",
     "page_asof": "SELECT user_id, epoch_us(ts) AS at, coalesce((SELECT max_by(m.event_id, m.ts) FROM events m WHERE m.user_id = e.user_id AND m.event_type = 'signup' AND m.ts <= e.ts), -1) AS page FROM events e WHERE event_type <> 'signup'",
-    "labelled_fields": "SELECT s_suppkey, n_name AS seat, CAST(NULL AS VARCHAR) AS purpose, 'EGP' AS currency, floor(abs(s_acctbal)) AS amount FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "labelled_fields": "SELECT s_suppkey, n_name AS seat, CAST(NULL AS VARCHAR) AS purpose, 'LE' AS currency, floor(abs(s_acctbal)) AS amount FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "name_lists": r"SELECT doc_id, len(x) AS n, md5(array_to_string(x, '|')) AS names_md5 FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\([^)]*\)', '', 'g'), '\bMM?\.\s*', '', 'g'), '\s+et\s+', ',', 'g'), '[;,]'), lambda v: trim(v, ' ')), lambda v: length(v) >= 3 AND regexp_matches(v, '\p{L}')) AS x FROM documents)",
     "printed_names": "SELECT c_custkey, c_name AS display, CASE c_custkey % 4 WHEN 1 THEN 'bey' WHEN 2 THEN 'bey' WHEN 3 THEN 'effendi' END AS rank FROM customer",
     "joined_entries": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), e AS (SELECT *, sum(regexp_matches(line, '^[A-D]')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS entry FROM l) SELECT doc_id, entry::BIGINT AS entry, count(*) AS n_lines, CAST(sum(length(trim(line, ' '))) + count(*) - 1 AS BIGINT) AS chars FROM e WHERE entry > 0 GROUP BY ALL",
@@ -155,7 +156,7 @@ ORACLES = {
     "lexicon_report": _LEX + "SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM classed GROUP BY label",
     "entity_summary": _MENTIONS + ", n AS (SELECT root, name, count(*) AS c FROM m GROUP BY ALL) SELECT root, (SELECT name FROM n WHERE n.root = m.root ORDER BY c DESC, length(name) DESC, name LIMIT 1) AS label, count(*) AS n_mentions, string_agg(DISTINCT name, ' ;; ' ORDER BY name) AS name_variants, array_to_string(list_sort(list(DISTINCT year)), ';') AS years_present, format('E{:05d}', dense_rank() OVER (ORDER BY root)) AS id FROM m GROUP BY root",
     "audit_variants": _MENTIONS + "SELECT root, count(DISTINCT name) AS variants FROM m GROUP BY root HAVING variants > 2",
-    "skeleton_groups": f"SELECT translate(replace(lower(p_name), ' ', ''), '{text.CONFUSED}', '{text.CLASSES}') AS skeleton, count(DISTINCT p_name) AS names, count(*) AS mentions FROM part GROUP BY ALL",
+    "skeleton_groups": "SELECT translate(replace(lower(p_name), ' ', ''), 'ltjfeoaumhkqwy', 'iiiicccnnnbgvv') AS skeleton, count(DISTINCT p_name) AS names, count(*) AS mentions FROM part GROUP BY ALL",
 }
 
 #: SQL that follows the affiliation view.
