@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 
 import numpy as np
@@ -37,6 +38,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
         spark.conf.set(clean, was) if was else spark.conf.unset(clean)
 
 
+@contextlib.contextmanager
+def short_plans(spark: SparkSession):
+    """Within, the driver keeps descriptions of plans without most of their fields, large literals among them."""
+    name = "spark.sql.debug.maxToStringFields"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was) if was else spark.conf.unset(name)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of phases whose results are checkpointed."""
     gc.collect()
