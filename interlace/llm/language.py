@@ -78,8 +78,8 @@ def evidence(pages: DataFrame) -> DataFrame:
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang, probability, text_lang, declared, suffix for every row of pages.
 
-    Null html or url give no evidence of their kind; with no evidence at all the answer follows
-    the priors. Ties go to the language that is first in the alphabet. Without documents of known
+    Null html or url give no evidence of their kind; a page without a host has the prior of all
+    pages; with no evidence at all the answer follows the priors. An empty table gives none. Ties go to the language that is first in the alphabet. Without documents of known
     language lang is null and probability 0. Other columns are ignored; repeated rows stay.
     """
     langs, log_p = learn(docs)
@@ -132,7 +132,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         total = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
         return F.zip_with(rest, wider, lambda s, w: (s + STRENGTH * w) / (total + STRENGTH))
 
-    joined = joined.withColumn("domain_prior", prior(F.col("domain_sum"), flat)).withColumn("prior", prior(F.col("host_sum"), F.col("domain_prior")))
+    joined = joined.withColumn("domain_prior", prior(F.col("domain_sum"), flat)).withColumn("prior", F.when(F.col("host") == "", flat).otherwise(prior(F.col("host_sum"), F.col("domain_prior"))))
     logs = F.zip_with(F.zip_with("likelihood", F.transform("prior", lambda x: F.log(x)), lambda a, b: a + b), F.zip_with("declared_log", "suffix_log", lambda a, b: a + b), lambda a, b: a + b)
     names = F.array(*[F.lit(x) for x in langs])
     best = lambda p: F.element_at(names, F.array_position(p, F.array_max(p)).cast("int"))

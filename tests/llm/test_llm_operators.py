@@ -194,3 +194,11 @@ def test_language(spark):
     pages = spark.createDataFrame([(1, "http://a.example.com/de/1", "<html lang='de'><p>der fluss und die steine</p></html>"), (2, "http://b.example.com/en/1", "<html><p>the stone of light</p></html>"), (3, None, None)], "page_id long, url string, html string")
     got = {r.page_id: r for r in language.identify(pages, d).collect()}
     assert got[1].lang == "de" and got[2].lang == "en" and len(got) == 3
+
+
+def test_pages_without_a_host_are_no_neighbours(spark):
+    d = spark.createDataFrame([("the river and the stone of light " * 9, "en"), ("der fluss und die steine des lichts " * 9, "de")], "text string, lang string")
+    german = "<p>der fluss und die steine des lichts</p>"
+    answer = lambda urls: {r.page_id: r.probability for r in language.identify(spark.createDataFrame([(i, u, german) for i, u in enumerate(urls)] + [(99, None, "")], "page_id long, url string, html string"), d).collect()}[99]
+    assert abs(answer([None] * 12) - answer([f"http://h{i}.org/" for i in range(12)])) < 0.02
+    assert language.identify(spark.createDataFrame([], "page_id long, url string, html string"), d).count() == 0
