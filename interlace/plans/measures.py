@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from interlace.functions import text
 from interlace.operators import measures, network, panel, stats
+from interlace.streaming import ticks
 from interlace.sources.affiliations import BOARD_ROLES, affiliations, firms, persons, seats, table
 
 ENDS, TIERS = (" und ", " que ", " from "), (("first", " the "), ("second", " de "), ("third", " der "))
@@ -58,7 +59,13 @@ def _slopes(s: SparkSession, d: str) -> DataFrame:
     return stats.slopes(v, "year", "x", "y")
 
 
+def windowed_counts(s: SparkSession, d: str) -> DataFrame:
+    w = ticks.windowed_counts(table(s, d, "events"))
+    return w.select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 QUERIES = {
+    "windowed_counts": windowed_counts,
     "multi_seat_share": lambda s, d: measures.multi_seat_share(seats(s, d)),
     "person_flags": lambda s, d: _flags(s, d).withColumnsRenamed({"1-URGENT": "urgent", "2-HIGH": "high"}),
     "office_terms_by_wave": lambda s, d: measures.office_terms_by_wave(_flags(s, d), list(BOARD_ROLES)).withColumnsRenamed({"1-URGENT": "urgent", "2-HIGH": "high"}),
@@ -170,6 +177,7 @@ RECURSIVE = {
 
 #: SQL that stands alone.
 ALONE = {
+    "windowed_counts": "SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "entry_tiers": r"""WITH h AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract(coalesce(text, ''), '(?s)^(.*?)(?: und | que | from |\z)', 1) AS head FROM documents), x AS (SELECT *, regexp_replace(head, ' of the ', ' ', 'g') AS kept FROM h)
         SELECT doc_id, length(head) AS chars, md5(head) AS head_md5, CASE WHEN regexp_matches(kept, ' the ') THEN 'first' WHEN regexp_matches(kept, ' de ') THEN 'second' WHEN regexp_matches(kept, ' der ') THEN 'third' END AS tier FROM x""",
     "company_names": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN lower(p_name) WHEN p_partkey % 4 = 3 THEN lower(p_name) || ' co' ELSE lower(p_name) || ' egypte' END AS company_key,
