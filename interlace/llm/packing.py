@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 #: Words kept with their ids by each Python worker; beyond that the memory is started anew.
-CACHE = 1_000_000
+CACHE = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
