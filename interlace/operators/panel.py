@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +68,37 @@ def rank_structure(ties: DataFrame, persons: DataFrame) -> DataFrame:
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("year")), 6))
 
 
+def beside(df: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """df with the facts of its keys, null keys included; facts has one row for each."""
+    named = facts.withColumnsRenamed({k: f"{k}_of_facts" for k in keys})
+    meet = reduce(lambda a, b: a & b, [df[k].eqNullSafe(named[f"{k}_of_facts"]) for k in keys])
+    return df.join(named, meet).drop(*[f"{k}_of_facts" for k in keys])
+
+
 def standardise(df: DataFrame, by: str, value: str, to: str) -> DataFrame:
-    """z-scores within a group with the population deviation; a deviation of 0 counts as 1."""
-    w = Window.partitionBy(by)
-    sd = F.stddev_pop(value).over(w)
-    return df.withColumn(to, F.round((F.col(value) - F.avg(value).over(w)) / F.when(sd == 0, 1.0).otherwise(sd), 6))
+    """z-scores within a group with the population deviation; a deviation of 0 counts as 1.
+
+    Groups are aggregated and joined back, so a large group is no task of its own.
+    """
+    facts = df.groupBy(by).agg(F.avg(value).alias("mean_of_group"), F.stddev_pop(value).alias("sd_of_group"))
+    sd = F.when(F.col("sd_of_group") == 0, 1.0).otherwise(F.col("sd_of_group"))
+    z = F.round((F.col(value) - F.col("mean_of_group")) / sd, 6)
+    return beside(df, facts, by).withColumn(to, z).drop("mean_of_group", "sd_of_group")
+
+
+def below(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, value, rows_here, rows_below, rows_of_group: a window over distinct values, not over rows."""
+    whole = Window.partitionBy(by)
+    before = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    n = df.groupBy(by, value).agg(F.count("*").alias("rows_here"))
+    return n.select("*", F.coalesce(F.sum("rows_here").over(before), F.lit(0)).alias("rows_below"), F.sum("rows_here").over(whole).alias("rows_of_group"))
 
 
 def percent_rank_average(df: DataFrame, by: str, value: str, to: str) -> DataFrame:
     """Average rank of ties, as a percentage of the group."""
-    w = Window.partitionBy(by)
-    rank = F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(by, value)) - 1) / 2
-    return df.withColumn(to, F.round(rank / F.count("*").over(w) * 100, 6))
+    rank = F.col("rows_below") + 1 + (F.col("rows_here") - 1) / 2
+    out = beside(df, below(df, by, value), by, value).withColumn(to, F.round(rank / F.col("rows_of_group") * 100, 6))
+    return out.drop("rows_here", "rows_below", "rows_of_group")
 
 
 def wide_flags(long: DataFrame, keys: list[str], name: str, values: list[str]) -> DataFrame:
@@ -116,9 +137,15 @@ def concentration(values: DataFrame, by: str, group: str, x: str) -> DataFrame:
 
 
 def lorenz(values: DataFrame, by: str, x: str) -> DataFrame:
-    w = Window.partitionBy(by)
-    o = w.orderBy(x, "person")
-    return values.select(by, "person", F.round(F.row_number().over(o) / F.count("*").over(w), 6).alias("heads"), F.round(F.try_divide(F.sum(x).over(o.rowsBetween(Window.unboundedPreceding, 0)), F.sum(x).over(w)), 6).alias("held"))
+    """Running shares of heads and of x, poorest first: rows are numbered among those of the same x only."""
+    whole = Window.partitionBy(by)
+    before = whole.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    here = F.col(x) * F.col("rows_here")
+    facts = below(values, by, x).withColumn("sum_below", F.coalesce(F.sum(here).over(before), F.lit(0))).withColumn("sum_of_group", F.sum(here).over(whole))
+    n = F.row_number().over(Window.partitionBy(by, x).orderBy("person"))
+    heads = F.round((F.col("rows_below") + n) / F.col("rows_of_group"), 6)
+    held = F.round(F.try_divide(F.col("sum_below") + F.col(x) * n, F.col("sum_of_group")), 6)
+    return beside(values, facts, by, x).select(by, "person", heads.alias("heads"), held.alias("held"))
 
 
 def risk_set(ties: DataFrame) -> DataFrame:
