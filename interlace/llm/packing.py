@@ -1,8 +1,9 @@
 """Packing token sequences into fixed windows by best fit, longest first.
 
 Documents are encoded where they lie; only pieces (a few integers each) are shuffled. Pieces
-are dealt to bins of about ``docs_per_group`` documents by a hash of doc_id, and each bin is
-packed on its own, so a task's memory and time don't grow with the corpus.
+are dealt to bins of about ``docs_per_group`` documents by a hash of doc_id, start and checksum, so
+neither a very long document nor many rows of one id fill a bin (rows equal in all do), and each bin
+is packed on its own, so a task's memory and time don't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -157,5 +158,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
         sequence = (t["bin"].to_numpy().astype(np.int64) << 32) + np.array(where, np.int64)
         return t.drop_columns("bin").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = pieces(docs, tokenizer, end_id, window).withColumn("bin", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    dealt = pieces(docs, tokenizer, end_id, window).withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
     return dealt.groupBy("bin").applyInArrow(fill, PIECES + ", sequence_id long, offset long")
