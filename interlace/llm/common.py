@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 
 import numpy as np
@@ -38,18 +37,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
         spark.conf.set(clean, was) if was else spark.conf.unset(clean)
 
 
-@contextlib.contextmanager
-def short_plans(spark: SparkSession):
-    """Within, the driver keeps descriptions of plans without most of their fields, large literals among them."""
-    name = "spark.sql.debug.maxToStringFields"
-    was = spark.conf.get(name, None)
-    spark.conf.set(name, "2")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was) if was else spark.conf.unset(name)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of phases whose results are checkpointed."""
     gc.collect()
@@ -186,10 +173,13 @@ for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
 LETTER[65:91] = LETTER[97:123]
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, where each begins, and how many each row has (rows end words)."""
+def words(raw: np.ndarray, at: np.ndarray, letter: np.ndarray = LETTER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, where each begins, and how many each row has (rows end words).
+
+    ``letter`` has a value for each byte, 0 for bytes outside words.
+    """
     n = len(raw)
-    inside = (LETTER != 0)[raw]
+    inside = (letter != 0)[raw]
     edge = np.zeros(n + 1, np.int8)
     edge[:n] += inside
     edge[1:] -= inside
@@ -202,7 +192,7 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     end[cut - 1] = True
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     up, down = powers(n + 1)
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(LETTER[raw] * up[:n], dtype=U64)])
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(letter[raw] * up[:n], dtype=U64)])
     h = (total[ends] - total[starts]) * down[starts]
     h ^= h >> U64(29)
     mix(h, ODD[2])
