@@ -170,7 +170,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
                 for text in batch.column(1).slice(first, 256).to_pylist():
                     parts, source, plain = e.parts(text or "")
                     ids = ",".join([p[0] for p in parts])
-                    decoded = b"".join([p[1] for p in parts])[1:]
+                    decoded = e.library.decode([int(i) for i in ids.split(",")]).encode() if ids else b""
                     begins = e.begins(parts, source, plain)
                     out.append((len(begins), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), zlib.crc32(begins.astype("<i8").tobytes())))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
