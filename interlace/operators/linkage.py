@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from interlace.functions.text import distance, extra_word, indel_ratio
+from interlace.functions.text import company_letters, company_tokens, distance, extra_word, indel_ratio, skeleton
+from interlace.operators.lineage import cut
 
 
 def initials_agree(a: Column, b: Column) -> Column:
@@ -85,20 +86,21 @@ def summary(mentions: DataFrame, prefix: str) -> DataFrame:
 
 
 def ordinals(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """column, id: numbered by order of the column from 1, without one task that sorts all.
+    """column, id: a prefix and five digits or more, by order of the column."""
+    return numbered(df, column).select(column, F.format_string(f"{prefix}%05d", F.col("number")).alias("id"))
+
+
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """column, number: its distinct values numbered from 1 in order, without one task that sorts all.
 
     Rows are dealt by range; each range numbers its own and adds how many the ranges before it hold.
     """
     keys = df.select(column).distinct().repartitionByRange(column).withColumn("part_", F.spark_partition_id())
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    keys = keys.checkpoint()
+    keys = cut(keys)
     sizes = keys.groupBy("part_").agg(F.count("*").alias("n_"))  # one row for each partition
     before = sizes.withColumn("before_", F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).select("part_", "before_")
     own = F.row_number().over(Window.partitionBy("part_").orderBy(column))
-    number = keys.join(F.broadcast(before), "part_").withColumn("number_", own + F.col("before_"))
-    return number.select(column, F.format_string(f"{prefix}%05d", F.col("number_").cast("long")).alias("id"))
+    return keys.join(F.broadcast(before), "part_").select(column, (own + F.col("before_")).cast("long").alias("number"))
 
 
 def audit(mentions: DataFrame, more_than: int = 2) -> DataFrame:
@@ -132,16 +134,21 @@ def scan_candidates(names: DataFrame, least: float = 80.0) -> DataFrame:
 def complete_linkage(pairs: DataFrame, names: DataFrame, most: float = 0.30) -> DataFrame:
     """k, root: closest pairs (a, b, distance) merge first, and only if all cross pairs are within ``most``.
 
-    Greedy, so in order (distance, a, b), within each component of the pairs; names not in a pair are their own root.
+    names has k and, if distances are not those of k itself, the letters that they are of. Greedy, so in
+    order (distance, a, b), within each component of the pairs; names not in a pair are their own root.
     """
     placed = components(names.select(F.col("k").alias("node")).distinct(), pairs.select("a", "b"))
     rows = pairs.join(placed, pairs.a == placed.node).select("root", "a", "b", "distance")
+    spelt = names.select("k", F.col("letters" if "letters" in names.columns else "k").alias("spelt")).distinct()
+    for side in ("a", "b"):
+        rows = rows.join(spelt.select(F.col("k").alias(side), F.col("spelt").alias(f"spelt_{side}")), side)
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        group = {k: [k] for k in sorted({*t["a"], *t["b"]})}
+        letters = dict(zip(t["a"], t["spelt_a"], strict=True)) | dict(zip(t["b"], t["spelt_b"], strict=True))
+        group = {k: [k] for k in sorted(letters)}
         for a, b in t.sort_values(["distance", "a", "b"])[["a", "b"]].itertuples(index=False):
             x, y = group[a], group[b]
-            if x is not y and all(distance(i, j) <= most for i in x for j in y):
+            if x is not y and all(distance(letters[i], letters[j]) <= most for i in x for j in y):
                 for k in y:
                     group[k] = x
                 x.extend(y)
@@ -155,7 +162,8 @@ def confirmed(pairs: DataFrame, firms: DataFrame, most: float = 0.20, near: floa
     """a, b, distance of candidate pairs of skeletons whose firms(k, letters, tokens) are close enough.
 
     Both names have ``letters`` letters at least. A word that one name has and the other lacks
-    parts them, unless the names are within ``near`` of each other.
+    parts them, unless the names are within ``near`` of each other. a and b are the skeletons: names
+    with the same letters, or none, are still two.
     """
     side = lambda x: firms.select(F.col("k").alias(x), F.col("letters").alias(f"letters_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.least(F.length("letters_a"), F.length("letters_b")) >= letters)
@@ -163,10 +171,33 @@ def confirmed(pairs: DataFrame, firms: DataFrame, most: float = 0.20, near: floa
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             rows = []
-            for x, y, p, q in zip(t["letters_a"], t["letters_b"], t["tokens_a"], t["tokens_b"], strict=True):
+            for a, b, x, y, p, q in zip(t["a"], t["b"], t["letters_a"], t["letters_b"], t["tokens_a"], t["tokens_b"], strict=True):
                 d = distance(x, y)
                 if d <= most and (d <= near or not extra_word(list(p), list(q))):
-                    rows.append((min(x, y), max(x, y), d))
+                    rows.append((min(a, b), max(a, b), d))
             yield pd.DataFrame(rows, columns=["a", "b", "distance"]).astype({"distance": float})
 
-    return both.select("letters_a", "letters_b", "tokens_a", "tokens_b").mapInPandas(run, "a string, b string, distance double").where("a <> b").distinct()
+    return both.select("a", "b", "letters_a", "letters_b", "tokens_a", "tokens_b").mapInPandas(run, "a string, b string, distance double").where("a <> b").distinct()
+
+
+def person_roots(mentions: DataFrame, key: str, own: str) -> DataFrame:
+    """mentions with root: one for all names that are one person's. A row without a key is like no other but
+    those with its own ``own`` (a mention's id, or a name)."""
+    names = mentions.select(F.col(key).alias("name_key")).where("name_key <> ''").distinct()
+    root = components(names.select(F.col("name_key").alias("node")), cut(accepted(blocked_pairs(names))))
+    linked = mentions.join(root, mentions[key] == root["node"], "left").drop("node")
+    return linked.withColumn("root", F.coalesce("root", F.concat(F.lit("0"), F.col(own).cast("string"))))
+
+
+def company_roots(mentions: DataFrame, name: str) -> DataFrame:
+    """mentions with root: one for all spellings of a firm.
+
+    Spellings of one skeleton are one firm, and near skeletons are merged by complete linkage. Names that have
+    no skeleton (no letter or digit) stay apart, each spelling a firm of its own.
+    """
+    spelt = mentions.select(F.col(name).alias("name")).distinct().withColumn("k", skeleton(F.col("name")))
+    firms = spelt.where("k <> ''").groupBy("k").agg(F.min("name").alias("first")).select("k", company_letters(F.col("first")).alias("letters"), company_tokens(F.col("first")).alias("tokens"))
+    firms = cut(firms)
+    root = complete_linkage(cut(confirmed(scan_candidates(firms), firms)), firms)
+    by_name = spelt.join(root, "k", "left").select(F.col("name").alias("name_"), F.coalesce("root", F.concat(F.lit("0"), "name")).alias("root"))
+    return mentions.join(by_name, mentions[name].eqNullSafe(by_name["name_"])).drop("name_")

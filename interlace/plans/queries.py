@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from interlace.functions import text
 from interlace.operators import network, panel, stats
-from interlace.plans import measures, registers, rosters
+from interlace.plans import chain, measures, registers, rosters
 from interlace.sources.affiliations import BOARD_ROLES, affiliations, firms, persons, seats, sparse_seats, table
 
 SECTORS = (("finance", "ring|bolt"), ("land", "widget|plate"), ("agriculture", "red|green"))
@@ -188,3 +188,5 @@ QUERIES |= measures.QUERIES
 ORACLES |= measures.ALONE | {k: AFF + v for k, v in measures.ON_VIEW.items()} | {k: AFF.replace("WITH aff", "WITH RECURSIVE aff", 1) + v for k, v in measures.RECURSIVE.items()}
 QUERIES |= rosters.QUERIES
 ORACLES |= rosters.ALONE | {k: AFF + v for k, v in rosters.ON_VIEW.items()}
+QUERIES |= chain.QUERIES
+ORACLES |= chain.ALONE | {k: AFF + v for k, v in chain.ON_VIEW.items()}

@@ -93,18 +93,12 @@ def part_mentions(s: SparkSession, d: str) -> DataFrame:
 
 def person_linkage(s: SparkSession, d: str) -> DataFrame:
     m = part_mentions(s, d).select("name", "year", text.name_key(F.col("name")).alias("name_key"))
-    names = m.select("name_key").distinct()
-    root = linkage.components(names.select(F.col("name_key").alias("node")), linkage.accepted(linkage.blocked_pairs(names)))
-    return linkage.summary(m.join(root, m.name_key == root.node).select("root", "name", "year"), "P")
+    return linkage.summary(linkage.person_roots(m, "name_key", "name").select("root", "name", "year"), "P")
 
 
 def company_linkage(s: SparkSession, d: str) -> DataFrame:
-    m = part_mentions(s, d).select("name", "year", text.skeleton(F.col("name")).alias("k"))
-    firms = m.groupBy("k").agg(F.min("name").alias("first")).select("k", text.company_letters(F.col("first")).alias("letters"), text.company_tokens(F.col("first")).alias("tokens"))
-    near = linkage.confirmed(linkage.scan_candidates(firms), firms)
-    root = linkage.complete_linkage(near, firms.select(F.col("letters").alias("k"))).withColumnRenamed("k", "letters")
-    placed = m.join(firms.select("k", "letters"), "k").join(root, "letters")
-    return linkage.summary(placed.select("root", "name", "year"), "C")
+    m = part_mentions(s, d).select("name", "year")
+    return linkage.summary(linkage.company_roots(m, "name").select("root", "name", "year"), "C")
 
 
 def bootstrap_mean(s: SparkSession, d: str, replicates: int = 50) -> DataFrame:
