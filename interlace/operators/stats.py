@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from interlace.operators.nulls import stratified_null
+
 
 def stratified_gap(df: DataFrame, cells: list[str], group: str, y: str, min_cell: int = 5) -> DataFrame:
     """Pooled difference of means within cells, weighted by n1 n0 / (n1 + n0); cells need min_cell on both sides."""
@@ -14,20 +16,9 @@ def stratified_gap(df: DataFrame, cells: list[str], group: str, y: str, min_cell
     return c.agg(F.count("*").alias("cells"), F.round(F.try_divide(F.sum((F.col("y1") - F.col("y0")) * F.col("w")), F.sum("w")), 6).alias("gap"))
 
 
-def permutation_null(df: DataFrame, cells: list[str], group: str, y: str, key: list[str], draws: int = 2000, min_cell: int = 5, seed: int = 7) -> DataFrame:
-    """The gap and its share of draws at least as large, labels being dealt anew within cells.
-
-    Draws are keyed by a hash of (seed, draw, key), so they don't depend on partitioning.
-    """
-    w = Window.partitionBy(*cells)
-    d = df.withColumn("n1", F.count_if(F.col(group)).over(w)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    order = F.row_number().over(Window.partitionBy("draw", *cells).orderBy(F.xxhash64(F.lit(seed), "draw", *key), *key))
-    d = d.withColumn("g", F.when(F.col("draw") == 0, F.col(group)).otherwise(order <= F.col("n1")))
-    c = d.groupBy("draw", *cells).agg(F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n0"), F.avg(F.when(F.col("g"), F.col(y))).alias("y1"), F.avg(F.when(~F.col("g"), F.col(y))).alias("y0"))
-    c = c.where((F.col("n1") >= min_cell) & (F.col("n0") >= min_cell)).withColumn("w", F.col("n1") * F.col("n0") / (F.col("n1") + F.col("n0")))
-    gaps = c.groupBy("draw").agg((F.sum((F.col("y1") - F.col("y0")) * F.col("w")) / F.sum("w")).alias("gap"))
-    seen = F.max(F.when(F.col("draw") == 0, F.col("gap"))).over(Window.partitionBy(F.lit(1)))
-    return gaps.withColumn("seen", seen).where("draw > 0").groupBy(F.round("seen", 6).alias("gap")).agg(F.count("*").alias("draws"), F.avg((F.abs("gap") >= F.abs("seen")).cast("double")).alias("p"))
+def permutation_null(df: DataFrame, cells: list[str], group: str, y: str, draws: int = 2000, min_cell: int = 5, seed: int = 7) -> DataFrame:
+    """gap, draws, p: the gap and its share of draws at least as large, labels being dealt anew within cells."""
+    return stratified_null(df, cells, group, y, draws, min_cell, seed).select(F.col("observed").alias("gap"), "draws", "p")
 
 
 def slopes(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

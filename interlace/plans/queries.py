@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from interlace.functions import text
 from interlace.operators import network, panel, stats
-from interlace.plans import chain, measures, registers, rosters
+from interlace.plans import chain, inference, measures, registers, rosters
 from interlace.sources.affiliations import BOARD_ROLES, affiliations, firms, persons, seats, sparse_seats, table
 
 SECTORS = (("finance", "ring|bolt"), ("land", "widget|plate"), ("agriculture", "red|green"))
@@ -63,7 +63,7 @@ QUERIES = {
     "distance_table": lambda s, d: network.distance_bands(seats(s, d)),
     "brokerage_outcomes": lambda s, d: network.brokerage_outcomes(seats(s, d)),
     "stratified_gap_observed": lambda s, d: stats.stratified_gap(_political_panel(s, d), ["year", "seat_cat"], "political", "y"),
-    "permutation_null": lambda s, d: stats.permutation_null(_political_panel(s, d), ["year", "seat_cat"], "political", "y", ["year", "person"]),
+    "permutation_null": lambda s, d: stats.permutation_null(_political_panel(s, d), ["year", "seat_cat"], "political", "y"),
     "ols_by_wave": lambda s, d: stats.slopes(_political_panel(s, d).withColumn("x", F.col("seats").cast("double")), "year", "x", "y"),
     "exit_hazard_cloglog": lambda s, d: stats.glm(_risk_panel(s, d), ["one", "tenure", "n_directors"], "exit", "firm", "cloglog", "log_gap"),
     "name_key": lambda s, d: table(s, d, "part").select("p_name").distinct().select("p_name", text.name_key(F.col("p_name")).alias("name_key"), text.skeleton(F.col("p_name")).alias("skeleton")),
@@ -190,3 +190,5 @@ QUERIES |= rosters.QUERIES
 ORACLES |= rosters.ALONE | {k: AFF + v for k, v in rosters.ON_VIEW.items()}
 QUERIES |= chain.QUERIES
 ORACLES |= chain.ALONE | {k: AFF + v for k, v in chain.ON_VIEW.items()}
+QUERIES |= inference.QUERIES
+ORACLES |= {k: AFF + v for k, v in inference.ON_VIEW.items()} | {k: AFF.replace("WITH aff", "WITH RECURSIVE aff", 1) + v for k, v in inference.RECURSIVE.items()}
