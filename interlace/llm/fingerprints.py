@@ -68,14 +68,11 @@ def _signatures(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     name = mix(name ^ U64(ODD[1]), ODD[0])
     v = name + occurrences(name, row).astype(U64) * U64(ODD[2])
     mix(mix(v, ODD[4]), ODD[0])
-    # row, bin (6 bits), value, place: the smallest of each bin come first
-    bits = max(1, int(len(v) - 1).bit_length())
-    key = (row.astype(U64) << U64(6) | v >> U64(58)) << U64(64 - 6 - 13)
-    key |= ((v << U64(6)) >> U64(19 + bits)) << U64(bits)
-    key |= np.arange(len(v), dtype=U64)
-    key.sort()
-    group = (key >> U64(45)).astype(np.int64)
-    index = (key & U64((1 << bits) - 1)).astype(np.int64)
+    # the two smallest of each (row, bin) by all 64 bits of v, so a text's tuples don't depend on what stands beside it
+    group = row * BINS + (v >> U64(64 - 6)).astype(np.int64)
+    order = np.argsort(v, kind="stable")
+    index = order[np.argsort(group[order], kind="stable")]
+    group = group[index]
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     second = np.minimum(start + 1, len(group) - 1)
     pair = group[second] == group[start]
@@ -113,9 +110,12 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
     """
     docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").alias("own_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
-    docs = docs.withColumn("at", F.col("doc_id").cast("double"))
-    docs = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(docs).withColumn("part", F.col("part").cast("int")).drop("at")
+    if bounds:
+        splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
+        docs = docs.withColumn("at", F.col("doc_id").cast("double"))
+        docs = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(docs).withColumn("part", F.col("part").cast("int")).drop("at")
+    else:  # one partition, or an empty table
+        docs = docs.withColumn("part", F.lit(0))
     firsts = sorted(docs.groupBy("part").agg(F.min("doc_id").alias("doc_id")).collect())
     if not firsts:
         return docs.withColumn("ahead", F.lit(0)).select("part", "ahead", "doc_id", "own_id", "text")
@@ -131,6 +131,7 @@ def fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
     Rows are ordered by (doc_id, text), null ids first; the text after a row is that of the next
     row, after the last that of the first. A null text is empty; empty texts are alike (1.0), and
     an empty and a filled one are not (0.0). Repeated rows each give a row; other columns are ignored.
+    An empty table gives an empty one.
     """
     parts = parts or shuffle_partitions(docs.sparkSession)
     rows = neighbours(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
