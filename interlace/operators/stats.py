@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from interlace.operators.curves import joint_wald
+from interlace.operators.lineage import cut
 from interlace.operators.nulls import stratified_null
 
 
@@ -29,7 +31,24 @@ def slopes(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def glm(df: DataFrame, x: list[str], y: str, cluster: str, link: str = "logit", offset: str | None = None, rounds: int = 25) -> DataFrame:
-    """Logit, cloglog or Poisson regression by iterated weighted sums, with cluster-robust errors.
+    """term, estimate, error, ratio of glm_fit()."""
+    beta, cov = glm_fit(df, x, y, cluster, link, offset, rounds)
+    out = [(c, round(float(b), 6), round(float(np.sqrt(max(v, 0))), 6), round(float(np.exp(b)), 6)) for c, b, v in zip(x, beta, np.diag(cov), strict=True)]
+    return df.sparkSession.createDataFrame(out, "term string, estimate double, error double, ratio double")
+
+
+def wald_tests(df: DataFrame, x: list[str], y: str, cluster: str, blocks: dict[str, list[str]], link: str = "logit", offset: str | None = None) -> DataFrame:
+    """block, chi2, df, p: whether all terms of each block are zero, by the clustered covariance of glm_fit()."""
+    beta, cov = glm_fit(cut(df), x, y, cluster, link, offset)
+    rows = []
+    for name, terms in blocks.items():
+        chi2, n, p = joint_wald(beta, cov, [x.index(t) for t in terms])
+        rows.append((name, round(chi2, 5), n, round(p, 6)))
+    return df.sparkSession.createDataFrame(rows, "block string, chi2 double, df int, p double")
+
+
+def glm_fit(df: DataFrame, x: list[str], y: str, cluster: str, link: str = "logit", offset: str | None = None, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates and covariance of a logit, cloglog or Poisson regression by iterated weighted sums, robust to clusters.
 
     Each round aggregates k * k sums over the rows; only those reach the driver. Columns x hold
     the intercept, too, if one is wanted.
@@ -72,9 +91,7 @@ def glm(df: DataFrame, x: list[str], y: str, cluster: str, link: str = "logit",
     for v, (i, j) in zip(row[1:], pairs, strict=True):
         meat[i, j] = meat[j, i] = v
     groups = row[0]
-    cov = bread @ meat @ bread * (groups / (groups - 1) if groups > 1 else 1)
-    out = [(c, round(float(b), 6), round(float(np.sqrt(max(v, 0))), 6), round(float(np.exp(b)), 6)) for c, b, v in zip(x, beta, np.diag(cov), strict=True)]
-    return df.sparkSession.createDataFrame(out, "term string, estimate double, error double, ratio double")
+    return beta, bread @ meat @ bread * (groups / (groups - 1) if groups > 1 else 1)
 
 
 # The distribution function of a Poisson variable of mean 1, from 0 on.

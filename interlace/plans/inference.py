@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from interlace.operators import distances, dyadic, network, nulls, panel
-from interlace.sources.affiliations import persons, seats
+from interlace.functions import companies
+from interlace.operators import curves, distances, dyadic, network, nulls, panel, stats
+from interlace.sources.affiliations import persons, seats, table
 
 DYAD_TERMS = ["edges", "memory", "b1star2", "b2star2", "origin_match", "office"]
 CLOSURE_TERMS = ["edges", "prior_seats", "prior_board"]
@@ -40,7 +41,40 @@ def mixing_null(s: SparkSession, d: str) -> DataFrame:
     return nulls.mixing_null(known, "year", "firm", "origin")
 
 
+def joint_wald(s: SparkSession, d: str) -> DataFrame:
+    """Whether the hazard of leaving differs by tenure, and by the board's size, each beyond the other."""
+    ties = seats(s, d)
+    r = panel.risk_set(ties).join(panel.firm_flags(ties, persons(s, d)), ["year", "firm"])
+    r = r.select("firm", F.lit(1).alias("one"), *[(F.least("tenure", F.lit(4)) == i).cast("int").alias(f"tenure{i}") for i in (2, 3, 4)], (F.col("n_directors") > 5).cast("int").alias("large"), F.col("connected").cast("int").alias("connected"), "exit", F.log("gap").alias("log_gap"))
+    r = r.withColumn("connected_large", F.col("connected") * F.col("large"))
+    blocks = {"tenure": ["tenure2", "tenure3", "tenure4"], "connected": ["connected", "connected_large"]}
+    return stats.wald_tests(r, ["one", "tenure2", "tenure3", "tenure4", "large", "connected", "connected_large"], "exit", "firm", blocks, "cloglog", "log_gap")
+
+
+def company_records(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as a register prints them, five to a page and a volume for each nation, some cut by a page's end."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.upper(F.translate(F.lpad(k.cast("string"), 6, "0"), "0123456789", "abdefgilmo")), F.lit(" MILLS"))
+    text = F.concat(
+        name, F.lit("\nSiège social : 12 rue Neuve, "), F.when(k % 2 == 0, "Le Caire").otherwise("Alexandrie"), F.lit("\nConstituée le 5 mai 19"), F.lpad((k % 50).cast("string"), 2, "0"),
+        F.lit(".\nDurée : "), (k % 90 + 1).cast("string"), F.lit(" ans.\nObjet : filature\net tissage\nConseil d'Administration\nPrésident : "), F.initcap(F.lower(F.substring(name, 1, 6))), F.lit(" Bey\n@Administrateurs : Omar Hassan, Klein Jules et MM. Guido\nCapital : L.E. "), (k * 1000).cast("string"), F.lit("\nBilan : 5, 6"),
+    )
+    seated = table(s, d, "supplier").select("s_nationkey", "s_suppkey", text.alias("t")).withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1)
+    # the last company of a page goes on overleaf from its list of directors on
+    page = F.floor(F.col("n") / 5)
+    parts = seated.select("s_nationkey", "n", F.when(F.col("n") % 5 == 4, F.split("t", "@")).otherwise(F.array(F.replace("t", F.lit("@"), F.lit("")))).alias("x"), page.alias("page"))
+    parts = parts.select("s_nationkey", "n", "page", F.posexplode("x").alias("at", "t")).select("s_nationkey", (F.col("page") + F.col("at") + 1).alias("page"), F.struct(F.col("n"), F.col("t")).alias("x"))
+    pages = parts.groupBy("s_nationkey", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.rtrim(x["t"])), "\n").alias("body"))
+    found = companies.company_records(pages, "s_nationkey")
+    board = F.array_join(F.transform("board", lambda x: F.concat_ws(":", x["place"].cast("string"), x["role"], x["display"], x["rank"])), ";")
+    return found.select("s_nationkey", "page", "name", "name_key", "seat", "city", "founded", "duration", "purpose", "currency", "amount", board.alias("board"))
+
+
 QUERIES = {
+    "joint_wald": joint_wald,
+    "company_records": company_records,
+    "quantile_regression": lambda s, d: curves.quantile_regression(_panel(s, d).select(F.lit(1).alias("one"), F.col("political").cast("int").alias("office"), "seats"), ["one", "office"], "seats"),
+    "seat_densities": lambda s, d: curves.densities(_panel(s, d), ["year", "political"], "seats", 0.25),
     "formed_at_distance": lambda s, d: distances.formed_at_distance(seats(s, d)),
     "wave_frame": lambda s, d: distances.wave_frame(seats(s, d)),
     "mple_bootstrap": lambda s, d: dyadic.mple(_dyads(s, d), DYAD_TERMS),
@@ -86,6 +120,19 @@ def _scores(terms: list[str], y: str) -> str:
 
 #: SQL that follows the affiliation view.
 ON_VIEW = {
+    "seat_densities": """, n AS (
+    SELECT year, political, count(*) AS n, stddev_samp(seats) AS sd, min(seats) AS low, max(seats) AS high FROM valued GROUP BY ALL HAVING count(*) >= 5 AND stddev_samp(seats) > 0
+), p AS (
+    SELECT n.*, sd * power(n, -0.2) AS h, unnest(range(low * 4, high * 4 + 1)) / 4 AS point FROM n
+)
+SELECT year, political, point, round(sum(CASE WHEN abs(point - seats) <= 4 * h THEN exp(-power((point - seats) / h, 2) / 2) ELSE 0 END) / any_value(n * h) / sqrt(2 * pi()), 6) AS density
+FROM p JOIN valued USING (year, political) GROUP BY year, political, point HAVING bool_or(abs(point - seats) <= ceil(4 * h / 0.25) * 0.25)""",
+    "entry_value": """, s AS (
+    SELECT firm, year, wave, next_year, row_number() OVER (PARTITION BY firm ORDER BY wave) AS tenure, min(wave) OVER (PARTITION BY firm) AS entry FROM (SELECT DISTINCT year, firm FROM dense) JOIN wave USING (year)
+), r AS (
+    SELECT firm, year, tenure FROM s WHERE wave = entry + tenure - 1 AND next_year IS NOT NULL
+)
+SELECT r.firm, r.year, r.tenure, coalesce((SELECT bool_or(connected) FROM r e JOIN fflags f ON f.firm = e.firm AND f.year = e.year WHERE e.firm = r.firm AND e.tenure = 1), false) AS connected_at_entry FROM r""",
     "mple_score_equations": _GRID + _scores(DYAD_TERMS, "tie"),
     "brokerage_poisson_score_equations": _BROKERS + _scores(["one", "seats", "office"], "new_seats"),
 }
@@ -103,3 +150,28 @@ RECURSIVE = {
 SELECT year, person, firm, CAST(coalesce(steps, -1) AS BIGINT) AS distance
 FROM asked LEFT JOIN far ON far.before = asked.before AND far.source = person * 2 AND far.node = firm * 2 + 1""",
 }
+
+_KEY = "regexp_replace(x, '[^a-z]', '', 'g')"
+for _from, _to in (("aou", "au"), ("eou", "eu"), ("ou", "u"), ("aw", "au"), ("ow", "u"), ("w", "u"), ("ch", "sh"), ("ph", "f"), ("q", "k"), ("c([eiy])", r"s\1"), ("c", "k"), ("y", "i")):
+    _KEY = f"regexp_replace({_KEY}, '{_from}', '{_to}', 'g')"
+_SINGLE = "(SELECT coalesce(string_agg(t[i], '' ORDER BY i), '') FROM (SELECT {0} AS t, unnest(range(1, length({0}) + 1)) AS i) WHERE i = 1 OR t[i] <> t[i - 1])"
+#: SQL that stands alone.
+ALONE = {
+    "company_records": """
+WITH s AS (
+    SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n, translate(lpad(CAST(s_suppkey AS VARCHAR), 6, '0'), '0123456789', 'abdefgilmo') AS word FROM supplier
+)
+SELECT s_nationkey, CAST(n // 5 + 1 AS BIGINT) AS page, upper(word) || ' MILLS' AS name, word || ' mills' AS name_key, '12 rue Neuve, ' || CASE WHEN s_suppkey % 2 = 0 THEN 'Le Caire' ELSE 'Alexandrie' END AS seat,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'Cairo' ELSE 'Alexandria' END AS city, '5 mai 19' || lpad(CAST(s_suppkey % 50 AS VARCHAR), 2, '0') AS founded, (s_suppkey % 90 + 1) || ' ans' AS duration, 'filature et tissage' AS purpose,
+    'LE' AS currency, CAST(s_suppkey * 1000 AS DOUBLE) AS amount, '1:president:' || upper(word[1]) || word[2:] || ':bey;2:director:Omar Hassan;3:director:Klein Jules;4:director:Guido' AS board FROM s
+""",
+    "name_key": f"""
+WITH n AS (SELECT DISTINCT p_name FROM part), w AS (
+    SELECT p_name, unnest(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 1 AND t NOT IN ('de', 'di', 'da', 'del', 'della', 'van', 'von', 'el', 'al', 'abu', 'abou', 'ibn', 'ben'))) AS x,
+        generate_subscripts(list_filter(string_split(lower(p_name), ' '), lambda t: length(t) > 1 AND t NOT IN ('de', 'di', 'da', 'del', 'della', 'van', 'von', 'el', 'al', 'abu', 'abou', 'ibn', 'ben')), 1) AS i FROM n
+), a AS (SELECT p_name, i, {_KEY} AS k FROM w), b AS (SELECT p_name, i, {_SINGLE.format("a.k")} AS k FROM a),
+c AS (SELECT p_name, i, regexp_replace(replace(regexp_replace(regexp_replace(k, '([aeiou])h([aeiou])', '\\1\\2', 'g'), '([aeiou])h([aeiou])', '\\1\\2', 'g'), 'j', 'g'), 'e$', '') AS k FROM b),
+d AS (SELECT p_name, i, {_SINGLE.format("c.k")} AS k FROM c)
+SELECT p_name, string_agg(k, ' ' ORDER BY i) AS name_key, translate(replace(lower(p_name), ' ', ''), 'ltjfeoaumhkqwy', 'iiiicccnnnbgvv') AS skeleton FROM d GROUP BY p_name
+""",
+}

@@ -191,4 +191,7 @@ ORACLES |= rosters.ALONE | {k: AFF + v for k, v in rosters.ON_VIEW.items()}
 QUERIES |= chain.QUERIES
 ORACLES |= chain.ALONE | {k: AFF + v for k, v in chain.ON_VIEW.items()}
 QUERIES |= inference.QUERIES
-ORACLES |= {k: AFF + v for k, v in inference.ON_VIEW.items()} | {k: AFF.replace("WITH aff", "WITH RECURSIVE aff", 1) + v for k, v in inference.RECURSIVE.items()}
+ORACLES |= inference.ALONE | {k: AFF + v for k, v in inference.ON_VIEW.items()} | {k: AFF.replace("WITH aff", "WITH RECURSIVE aff", 1) + v for k, v in inference.RECURSIVE.items()}
+#: The measures of the thinned graph over all ties: the same SQL, without the filter that thins.
+_THIN = "FROM aff WHERE role = '1-URGENT' AND status = 'F' AND month = 3)"
+ORACLES |= {f"{k}_whole": ORACLES[k].replace(_THIN, "FROM dense)") for k in ("waves_histogram", "risk_set", "life_table", "square_clustering", "burt_and_effective_size", "open_share", "link_components")}
