@@ -56,7 +56,7 @@ def quantile_fit(df: DataFrame, x: list[str], y: str, levels: list[float], round
 def quantile_regression(df: DataFrame, x: list[str], y: str, levels: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95), digits: int = 3) -> DataFrame:
     """level, term, estimate: linear quantiles of y. Rows with a null are left out; x holds the intercept, too."""
     beta = quantile_fit(df, x, y, list(levels))
-    rows = [(float(t), c, round(float(b), digits)) for t, bs in zip(levels, beta, strict=True) for c, b in zip(x, bs, strict=True)]
+    rows = [(float(t), c, round(float(b), digits) + 0.0) for t, bs in zip(levels, beta, strict=True) for c, b in zip(x, bs, strict=True)]
     return df.sparkSession.createDataFrame(rows, "level double, term string, estimate double")
 
 

@@ -57,7 +57,7 @@ def formed_at_distance(ties: DataFrame) -> DataFrame:
     return found.withColumnRenamed("year", "before").join(w, "before").select("year", "person", "firm", "distance")
 
 
-def eigenvectors(ties: DataFrame, node: str = "person", over: str = "firm", rounds: int = 200, close: float = 1e-9) -> DataFrame:
+def eigenvectors(ties: DataFrame, node: str = "person", over: str = "firm", rounds: int = 200, close: float = 1e-8) -> DataFrame:
     """year, node, eigenvector: the leading eigenvector of each wave's weighted projection, of length 1.
 
     Power iteration of A + 1 (which has the same vectors and no second one of equal size) from equal

@@ -216,3 +216,22 @@ def ols(df: DataFrame, by: str, xs: list[str], y: str, cluster: str | None = Non
     return df.sparkSession.createDataFrame(out, f"{by} {dict(df.dtypes)[by]}, term string, coefficient double, error double")
 
 
+def retention_by(dyads: DataFrame, by: str) -> DataFrame:
+    """by, held, kept, rate of dyads with a tie before: how many, how many of them still have it, and their share."""
+    return dyads.where("memory = 1").groupBy(by).agg(F.count("*").alias("held"), F.sum("tie").cast("long").alias("kept"), share(F.col("tie")).alias("rate"))
+
+
+def compared(df: DataFrame, measures_: list[str], group: str, by: str = "year", cluster: str = "person") -> DataFrame:
+    """measure, coefficient, error, lo, hi: what the group adds to each measure in its own units of spread.
+
+    Measures are standardised within ``by`` (by the spread of the whole, 1 where there is none), then each is
+    regressed on the group with errors robust to clusters.
+    """
+    out = None
+    for m in measures_:
+        facts = df.where(F.col(m).isNotNull()).groupBy(by).agg(F.avg(m).alias("mean_"), F.coalesce(F.nullif(F.stddev_pop(m), F.lit(0.0)), F.lit(1.0)).alias("sd_"))
+        z = df.where(F.col(m).isNotNull()).join(F.broadcast(facts) if by == "year" else facts, by).select(F.lit(1).alias("one"), cluster, F.col(group).cast("double").alias("group_"), ((F.col(m) - F.col("mean_")) / F.col("sd_")).alias("z"))
+        one = ols(z, "one", ["group_"], "z", cluster).where("term = 'group_'").select(F.lit(m).alias("measure"), "coefficient", "error")
+        out = one if out is None else out.union(one)
+    end = lambda sign: F.round(F.col("coefficient") + sign * 1.959963984540054 * F.col("error"), 5)
+    return out.select("measure", F.round("coefficient", 5).alias("coefficient"), F.round("error", 5).alias("error"), end(-1).alias("lo"), end(1).alias("hi"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from interlace.functions import companies
-from interlace.operators import curves, distances, dyadic, network, nulls, panel, stats
+from interlace.operators import curves, distances, dyadic, measures, network, nulls, panel, stats
 from interlace.sources.affiliations import persons, seats, table
 
 DYAD_TERMS = ["edges", "memory", "b1star2", "b2star2", "origin_match", "office"]
@@ -42,13 +42,33 @@ def mixing_null(s: SparkSession, d: str) -> DataFrame:
 
 
 def joint_wald(s: SparkSession, d: str) -> DataFrame:
-    """Whether the hazard of leaving differs by tenure, and by the board's size, each beyond the other."""
+    """Whether staying to the next wave differs by seats, and by office, each beyond the other."""
+    b = _brokers(s, d).select("person", "one", "office", "survives", *[(F.least("seats", F.lit(4)) == i).cast("int").alias(f"seats{i}") for i in (2, 3, 4)])
+    return stats.wald_tests(b, ["one", "seats2", "seats3", "seats4", "office"], "survives", "person", {"seats": ["seats2", "seats3", "seats4"], "office": ["office"]})
+
+
+def returns_to_brokerage(s: SparkSession, d: str) -> DataFrame:
+    """measure, outcome, observed, p, lo, hi, draws: outcomes of those above their cell's median of effective size, or below
+    that of constraint, beside labels dealt anew within waves and seats."""
     ties = seats(s, d)
-    r = panel.risk_set(ties).join(panel.firm_flags(ties, persons(s, d)), ["year", "firm"])
-    r = r.select("firm", F.lit(1).alias("one"), *[(F.least("tenure", F.lit(4)) == i).cast("int").alias(f"tenure{i}") for i in (2, 3, 4)], (F.col("n_directors") > 5).cast("int").alias("large"), F.col("connected").cast("int").alias("connected"), "exit", F.log("gap").alias("log_gap"))
-    r = r.withColumn("connected_large", F.col("connected") * F.col("large"))
-    blocks = {"tenure": ["tenure2", "tenure3", "tenure4"], "connected": ["connected", "connected_large"]}
-    return stats.wald_tests(r, ["one", "tenure2", "tenure3", "tenure4", "large", "connected", "connected_large"], "exit", "firm", blocks, "cloglog", "log_gap")
+    size = network.constraint_and_size(network.projection(ties, "person", "firm")).withColumnRenamed("node", "person")
+    rows = network.brokerage_outcomes(ties).join(size, ["year", "person"]).withColumn("seat_cat", F.least("seats", F.lit(4)))
+    cells, out = ["year", "seat_cat"], None
+    for measure in ("effective_size", "burt_constraint"):
+        cut = rows.groupBy(*cells).agg(F.percentile(measure, F.lit(0.5)).alias("median"))
+        high = F.col(measure) > F.col("median") if measure == "effective_size" else F.col(measure) < F.col("median")
+        split = rows.join(cut, cells).withColumn("broker", high)
+        for outcome in ("survives", "new_seats", "growth"):
+            one = nulls.stratified_null(split, cells, "broker", outcome).select(F.lit(measure).alias("measure"), F.lit(outcome).alias("outcome"), "*")
+            out = one if out is None else out.union(one)
+    return out
+
+
+def centrality_comparison(s: SparkSession, d: str) -> DataFrame:
+    ties = seats(s, d)
+    mates = network.degrees(network.projection(ties, "person", "firm")).withColumnRenamed("node", "person")
+    rows = panel.seats_per_person(ties).join(mates, ["year", "person"], "left").fillna(0, ["degree", "strength"]).join(persons(s, d), "person")
+    return measures.compared(rows, ["seats", "degree", "strength"], "political")
 
 
 def company_records(s: SparkSession, d: str) -> DataFrame:
@@ -72,6 +92,10 @@ def company_records(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "joint_wald": joint_wald,
+    "returns_to_brokerage": returns_to_brokerage,
+    "centrality_comparison": centrality_comparison,
+    "retention_by_office": lambda s, d: measures.retention_by(_dyads(s, d), "office"),
+    "mple_interaction_score_equations": lambda s, d: dyadic.fitted_totals(_dyads(s, d).withColumn("memory_office", F.col("memory") * F.col("office")), [*DYAD_TERMS, "memory_office"]),
     "company_records": company_records,
     "quantile_regression": lambda s, d: curves.quantile_regression(_panel(s, d).select(F.lit(1).alias("one"), F.col("political").cast("int").alias("office"), "seats"), ["one", "office"], "seats"),
     "seat_densities": lambda s, d: curves.densities(_panel(s, d), ["year", "political"], "seats", 0.25),
@@ -134,6 +158,18 @@ FROM p JOIN valued USING (year, political) GROUP BY year, political, point HAVIN
 )
 SELECT r.firm, r.year, r.tenure, coalesce((SELECT bool_or(connected) FROM r e JOIN fflags f ON f.firm = e.firm AND f.year = e.year WHERE e.firm = r.firm AND e.tenure = 1), false) AS connected_at_entry FROM r""",
     "mple_score_equations": _GRID + _scores(DYAD_TERMS, "tie"),
+    "mple_interaction_score_equations": _GRID.replace("political::INT AS office\n", "political::INT AS office, memory * political::INT AS memory_office\n") + _scores([*DYAD_TERMS, "memory_office"], "tie"),
+    "retention_by_office": _GRID + "SELECT office::BIGINT AS office, count(*) AS held, sum(tie)::BIGINT AS kept, round(avg(tie), 6) AS rate FROM z WHERE memory = 1 GROUP BY 1",
+    "centrality_comparison": """, e AS (
+    SELECT a.year, a.person AS a, b.person AS b, count(*) AS weight FROM dense a JOIN dense b ON a.year = b.year AND a.firm = b.firm AND a.person <> b.person GROUP BY ALL
+), g AS (SELECT year, a AS person, count(*) AS degree, sum(weight) AS strength FROM e GROUP BY ALL), v AS (
+    SELECT year, person, political::INT AS x, unnest(['seats', 'degree', 'strength']) AS measure, unnest([seats, coalesce(degree, 0), coalesce(strength, 0)])::DOUBLE AS m FROM valued LEFT JOIN g USING (year, person)
+), z AS (
+    SELECT measure, person, x, (m - avg(m) OVER (PARTITION BY measure, year)) / coalesce(nullif(stddev_pop(m) OVER (PARTITION BY measure, year), 0), 1) AS z FROM v
+), f AS (SELECT measure, regr_slope(z, x) AS b, regr_intercept(z, x) AS a, count(*) AS n, avg(x) AS mx, sum(power(x, 2)) - count(*) * power(avg(x), 2) AS sxx, count(DISTINCT person) AS g FROM z GROUP BY measure),
+s AS (SELECT measure, person, sum((x - mx) * (z - a - b * x)) AS s FROM z JOIN f USING (measure) GROUP BY ALL),
+t AS (SELECT measure, any_value(b) AS b, sqrt(sum(s * s)) / any_value(sxx) * sqrt(any_value(g / (g - 1) * (n - 1) / (n - 2))) AS error FROM s JOIN f USING (measure) GROUP BY measure)
+SELECT measure, round(b, 5) AS coefficient, round(error, 5) AS error, round(b - 1.959963984540054 * error, 5) AS lo, round(b + 1.959963984540054 * error, 5) AS hi FROM t""",
     "brokerage_poisson_score_equations": _BROKERS + _scores(["one", "seats", "office"], "new_seats"),
 }
 #: SQL that follows the affiliation view and walks its graph.
