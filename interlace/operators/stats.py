@@ -18,8 +18,11 @@ def stratified_gap(df: DataFrame, cells: list[str], group: str, y: str, min_cell
     return c.agg(F.count("*").alias("cells"), F.round(F.try_divide(F.sum((F.col("y1") - F.col("y0")) * F.col("w")), F.sum("w")), 6).alias("gap"))
 
 
-def permutation_null(df: DataFrame, cells: list[str], group: str, y: str, draws: int = 2000, min_cell: int = 5, seed: int = 7) -> DataFrame:
-    """gap, draws, p: the gap and its share of draws at least as large, labels being dealt anew within cells."""
+def permutation_null(df: DataFrame, cells: list[str], group: str, y: str, key: list[str] | None = None, draws: int = 2000, min_cell: int = 5, seed: int = 7) -> DataFrame:
+    """gap, draws, p: the gap and its share of draws at least as large, labels being dealt anew within cells.
+
+    Rows are counted, so ``key``, which tells them apart, isn't needed.
+    """
     return stratified_null(df, cells, group, y, draws, min_cell, seed).select(F.col("observed").alias("gap"), "draws", "p")
 
 
