@@ -2,8 +2,8 @@
 
 The classifier minimises the non-negative unbiased risk
 ``prior * E+[l(f)] + max(0, Eu[l(-f)] - prior * E+[l(-f)])`` with logistic loss, so that the
-score is an estimate of the probability of label 1. The class prior is the share of label 1
-among all labels of the learning folds.
+score is an estimate of the probability of label 1. The class prior is estimated from the
+positives and the unlabelled texts alone; labels other than 1 are never read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from interlace.llm.common import U64, run_lengths, shingles, slices, utf8, words
+from interlace.llm.common import U64, checkpoint, run_lengths, shingles, slices, utf8, words
 
 #: Bound of either sample that a classifier is fitted on.
 SAMPLE = 12_000
@@ -124,6 +124,31 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, tuple(w))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among the unlabelled, by best bin estimation on held-out halves.
+
+    A classifier fitted on one half of both samples scores the other. Above a threshold lie a share
+    u of the unlabelled and p of the positives; u / p bounds the prior from above, and comes near it
+    where few negatives score so high. The threshold is the one with the least upper confidence
+    bound of u / p at level ``delta``. Halves change places and the two estimates are averaged. One half
+    where a sample has fewer than four rows.
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    rng = np.random.default_rng(11)
+    halves = [np.array_split(x[rng.permutation(len(x))], 2) for x in (positive, unlabelled)]
+    found = []
+    for learn, test in ((0, 1), (1, 0)):
+        model = fit(halves[0][learn], halves[1][learn], 0.5, steps=300)
+        p, u = (np.sort(model.logit(h[test])) for h in halves)
+        bars = np.unique(p)
+        above = lambda x, bars=bars: 1 - np.searchsorted(x, bars, "left") / len(x)
+        slack = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (p, u))
+        at = np.argmin((above(u) + (1 + gamma) * slack) / above(p))
+        found.append(above(u)[at] / above(p)[at])
+    return float(np.clip(np.mean(found), 0.01, 0.99))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
@@ -131,15 +156,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` positives of the learning folds and ``sample`` documents of any kind.
 
-    Both are the rows with the least hashed ids, so they don't depend on how rows are dealt. Their
-    ids (at most twice ``sample``) are broadcast, their features come to the driver. Without
-    positives every text gets the prior; without labels the prior is one half.
+    Both are the rows with the least hashed ids, so they don't depend on how rows are dealt; where
+    ids repeat, the rows of the chosen ids with the least hashed features. The ids (at most twice
+    ``sample``) are broadcast, at most ``sample`` rows of features a kind come to the driver.
+    Without positives every text gets the prior, which then is one half.
     """
-    learn = labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    ones, total = learn.agg(F.sum((F.col("quality") == 1).cast("long")), F.count("*")).first()
-    prior = min(max((ones or 0) / total, 0.01), 0.99) if total else 0.5
+    learn = labels.where(~held_out() & (F.col("quality") == 1) & F.col("doc_id").isNotNull())
     order = F.xxhash64("doc_id", F.lit(5))
-    trusted = learn.where("quality = 1").select("doc_id").distinct().orderBy(order).limit(sample).withColumn("trusted", F.lit(1))
+    trusted = learn.select("doc_id").distinct().orderBy(order).limit(sample).withColumn("trusted", F.lit(1))
     any_kind = docs.where("doc_id is not null").select("doc_id").orderBy(order).limit(sample).distinct().withColumn("any_kind", F.lit(1))
     chosen = trusted.join(any_kind, "doc_id", "full")
 
@@ -148,23 +172,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = features(*utf8(b["text"])).astype("<f8")
             yield pa.RecordBatch.from_arrays([b["trusted"], b["any_kind"], pa.array([r.tobytes() for r in x], pa.binary())], ["trusted", "any_kind", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("trusted", "any_kind", "text").mapInArrow(measure, "trusted int, any_kind int, x binary").orderBy("x").collect()
-    matrix = lambda which: np.frombuffer(b"".join(bytes(r["x"]) for r in rows if r[which]), "<f8").reshape(-1, 20 + SPELLING)
-    return fit(matrix("trusted"), matrix("any_kind") if any(r["any_kind"] for r in rows) else np.zeros((1, 20 + SPELLING)), prior)
+    rows = checkpoint(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("trusted", "any_kind", "text").mapInArrow(measure, "trusted int, any_kind int, x binary"))
+
+    def matrix(which: str) -> np.ndarray:
+        kept = rows.where(F.col(which) == 1).select("x").orderBy(F.xxhash64("x"), "x").limit(sample).collect()
+        return np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in kept)), "<f8").reshape(-1, 20 + SPELLING)
+
+    positive, unlabelled = matrix("trusted"), matrix("any_kind")
+    return fit(positive, unlabelled if len(unlabelled) else np.zeros((1, 20 + SPELLING)), class_prior(positive, unlabelled))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and quality_score, from 0 to 1. Null and empty texts are scored as empty texts."""
+def score(docs: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
+    """All columns of docs and ``column``, from 0 to 1, which replaces one of that name. Null and empty texts are
+    scored as empty texts, an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(features(*utf8(b["text"]))))], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(features(*utf8(b["text"]))))], [*b.schema.names, column])
 
-    docs = docs.select(*[c for c in docs.columns if c != "quality_score"])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    docs = docs.drop(column)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted for every row of docs; an empty table gives none, null ids aren't held out."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels, sample))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))

@@ -320,15 +320,20 @@ def _none(schema: str) -> pa.Table:
 
 
 def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
-    """All columns of docs, texts without the repeated strings; characters that lose some of their bytes go whole."""
-    keyed, gone = removals(docs, size)
+    """All columns of docs, texts without the repeated strings; characters that lose some of their bytes go whole.
+
+    Other columns pass through, whatever their names. Null texts become empty.
+    """
     schema = docs.schema
+    plain = [c if c in ("doc_id", "text") else f"other{i}" for i, c in enumerate(docs.columns)]
+    keyed, gone = removals(docs.toDF(*plain), size)
 
     def finish(d: pa.Table, g: pa.Table) -> pa.Table:
+        out = d.select(plain).rename_columns(schema.names)
         if not d.num_rows:
-            return d.select(schema.names)
+            return out
         found, inverse = cut_out(d, _blobs(g), size)
         texts = [k.decode("utf-8", "ignore") for k in found["kept"]]
-        return d.select(schema.names).set_column(schema.names.index("text"), "text", pa.array([texts[i] for i in inverse], pa.string()))
+        return out.set_column(schema.names.index("text"), "text", pa.array([texts[i] for i in inverse], pa.string()))
 
     return keyed.groupBy("bucket__").cogroup(gone.groupBy("bucket")).applyInArrow(finish, schema)
