@@ -108,7 +108,7 @@ def zero_inflated(df: DataFrame, x: list[str], z: list[str], y: str, family: str
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
         row = np.array(data.mapInArrow(sums, "sums array<double>").agg(*[F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0.0)) for i in range(width)]).first(), float)
-        return row[0], row[1 : 1 + size], row[1 + size : 1 + size + size * size].reshape(size, size), row[1 + size + size * size :].reshape(size, size)
+        return float(row[0]), row[1 : 1 + size], row[1 + size : 1 + size + size * size].reshape(size, size), row[1 + size + size * size :].reshape(size, size)
 
     theta, settled = np.zeros(size), False
     now = evaluate(theta)

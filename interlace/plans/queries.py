@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from interlace.functions import text
 from interlace.operators import network, panel, stats
-from interlace.plans import chain, inference, measures, registers, rosters
+from interlace.plans import chain, counts, inference, measures, registers, rosters
 from interlace.sources.affiliations import BOARD_ROLES, affiliations, firms, persons, seats, sparse_seats, table
 
 SECTORS = (("finance", "ring|bolt"), ("land", "widget|plate"), ("agriculture", "red|green"))
@@ -190,6 +190,8 @@ QUERIES |= rosters.QUERIES
 ORACLES |= rosters.ALONE | {k: AFF + v for k, v in rosters.ON_VIEW.items()}
 QUERIES |= chain.QUERIES
 ORACLES |= chain.ALONE | {k: AFF + v for k, v in chain.ON_VIEW.items()}
+QUERIES |= counts.QUERIES
+ORACLES |= {k: AFF + v for k, v in counts.ON_VIEW.items()}
 QUERIES |= inference.QUERIES
 ORACLES |= inference.ALONE | {k: AFF + v for k, v in inference.ON_VIEW.items()} | {k: AFF.replace("WITH aff", "WITH RECURSIVE aff", 1) + v for k, v in inference.RECURSIVE.items()}
 #: The measures of the thinned graph over all ties: the same SQL, without the filter that thins.
