@@ -179,4 +179,4 @@ def diagnostics(df: DataFrame, y: str, fitted: dict[str, Column], per_decade: in
     rows = df.select(F.col(y).cast("double").alias("y"), each.alias("m")).select("y", "m.model", "m.f").where("y is not null and f is not null")
     rows = rows.withColumn("bin", F.when(F.col("f") > 0, F.floor(F.log10("f") * per_decade)))
     left = F.col("y") - F.col("f")
-    return rows.groupBy("model", "bin").agg(F.count("*").alias("n"), F.round(F.avg("y"), 4).alias("observed"), F.round(F.avg("f"), 4).alias("fitted"), F.round(F.avg(left), 4).alias("residual"), F.round(F.stddev_pop(left), 4).alias("spread"), F.round(F.avg((F.col("y") > 0).cast("int")), 6).alias("positive"))
+    return rows.groupBy("model", "bin").agg(F.count("*").alias("n"), F.round(F.avg("y"), 4).alias("observed"), F.round(F.avg("f"), 4).alias("fitted"), (F.round(F.avg(left), 4) + F.lit(0.0)).alias("residual"), F.round(F.stddev_pop(left), 4).alias("spread"), F.round(F.avg((F.col("y") > 0).cast("int")), 6).alias("positive"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from interlace.operators import hazards, inflated, measures
+from interlace.operators import hazards, inflated, measures, stats
 from interlace.operators.lineage import cut
 from interlace.sources.affiliations import persons, seats
 
@@ -22,7 +22,7 @@ def fit_diagnostics(s: SparkSession, d: str) -> DataFrame:
     """What three models fit: least squares of the logarithm, quasi-Poisson, and zero-inflated negative binomial."""
     rows = cut(_held(s, d))
     line = {r.term: r.coefficient for r in measures.ols(rows.withColumn("log_held", F.log1p("held")), "one", ["office"], "log_held").collect()}
-    rate = {r.term: r.estimate for r in inflated.quasi_poisson(rows, TERMS, "held", "person").collect()}
+    rate = dict(zip(TERMS, map(float, stats.glm_fit(rows, TERMS, "held", "person", "poisson")[0]), strict=True))
     fitted = {
         "log_normal": F.expm1(F.lit(line["intercept"]) + F.lit(line["office"]) * F.col("office")),
         "quasi_poisson": F.exp(F.lit(rate["one"]) + F.lit(rate["office"]) * F.col("office")),
@@ -109,6 +109,6 @@ SELECT '{t}' AS term, round(sum({t} * held)::DOUBLE, 3) AS total, round(sum({t}
     SELECT held, unnest(['log_normal', 'quasi_poisson', 'zero_inflated']) AS model, unnest([l, m, m]) AS f FROM h JOIN g USING (office)
 )
 SELECT model, CAST(floor(log10(f) * 10) AS BIGINT) AS bin, count(*) AS n, round(avg(held), 4) AS observed, round(avg(f), 4) AS fitted,
-    round(avg(held - f), 4) AS residual, round(stddev_pop(held - f), 4) AS spread, round(avg((held > 0)::INT), 6) AS positive
+    round(avg(held - f), 4) + 0.0 AS residual, round(stddev_pop(held - f), 4) AS spread, round(avg((held > 0)::INT), 6) AS positive
 FROM f GROUP BY ALL""",
 }
