@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from interlace.functions.registers import RANKS
 from interlace.functions.rosters import BREAKABLE, is_firm, organisation, running_head
 from interlace.functions.text import fold, name_key
 
@@ -78,9 +79,8 @@ CONNECTOR = (
 )
 BARE = r"(?iU)^\W*(?:de\s+l['’]|de\s+la\s+|de\s+les\s+|des\s+|du\s+|de\s+|d['’]|l['’])"
 SECOND = r"(?U)\s+et\s+(?=d[eu']|l['’]|la\b|des\b)"
-# Prefixes of a name, and ranks after it with their forms.
+# Prefixes of a name.
 PREFIXES = "s.a.r. s.a.s. s.e. s.a. s.m. mm. mme mlle m. dr. dr me ing. prof. sir lord lady hon. rev. prince princesse comte comtesse baron baronne cheikh sheikh chekh general gen. colonel col. commandant capitaine".split()
-RANK_FORMS = {"pacha": "pasha", "pasha": "pasha", "bacha": "pasha", "bey": "bey", "beik": "bey", "bek": "bey", "effendi": "effendi", "effendy": "effendi", "agha": "agha"}
 #: Ranks from the lowest to the highest.
 RANK_ORDER = {"agha": 1, "effendi": 1, "bey": 2, "pasha": 3}
 
@@ -218,7 +218,7 @@ def person(printed: Column) -> Column:
     A prefix goes, then ranks at the end, of which the foremost counts; the keys are those of what is left.
     """
     known = "|".join(p.replace(".", r"\.") for p in sorted(PREFIXES, key=len, reverse=True))
-    tail = rf"(?i)(?:(?:^|\s+)[.,;]*(?:{'|'.join(RANK_FORMS)})[.,;]*)+$"
+    tail = rf"(?i)(?:(?:^|\s+)[.,;]*(?:{'|'.join(RANKS)})[.,;]*)+$"
 
     def parts(s: Column) -> Column:
         prefix = F.regexp_extract(s, rf"(?i)^({known})\s+", 1)
@@ -226,8 +226,8 @@ def person(printed: Column) -> Column:
 
         def ranked(r: Column) -> Column:
             kept = F.left(r, F.length(F.regexp_replace(fold(r), tail, "")))
-            first = F.lower(F.regexp_extract(F.substring(fold(r), F.length(kept) + 1, F.length(r)), rf"(?i)({'|'.join(RANK_FORMS)})", 1))
-            rank = F.coalesce(*[F.when(first == form, name) for form, name in RANK_FORMS.items()])
+            first = F.lower(F.regexp_extract(F.substring(fold(r), F.length(kept) + 1, F.length(r)), rf"(?i)({'|'.join(RANKS)})", 1))
+            rank = F.coalesce(*[F.when(first == form, name) for form, name in RANKS.items()])
             return F.struct(squeeze(kept, ",;").alias("display"), rank.alias("rank"), F.when(prefix != "", F.lower(prefix)).alias("prefix"))
 
         return let(rest, ranked)

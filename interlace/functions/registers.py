@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a printed name may carry after it, lowest first; the last that is popped counts.
-RANKS = ("effendi", "bey", "pasha")
+# Ranks after a name, by their forms.
+RANKS = {"pacha": "pasha", "pasha": "pasha", "bacha": "pasha", "bey": "bey", "beik": "bey", "bek": "bey", "effendi": "effendi", "effendy": "effendi", "agha": "agha"}
 
 
 def pages(volumes: DataFrame, key: str, text: str, mark: str = r"<<<PAGE (\d+)>>>") -> DataFrame:
@@ -53,12 +53,12 @@ def name_list(text: Column) -> Column:
     return F.filter(parts, lambda x: (F.length(x) >= 3) & x.rlike(r"\p{L}"))
 
 
-def person_name(printed: Column, ranks: tuple[str, ...] = RANKS) -> Column:
-    """struct(display, rank): trailing rank words are popped; the last one popped is the rank."""
+def person_name(printed: Column, ranks: dict[str, str] = RANKS) -> Column:
+    """struct(display, rank): trailing rank words, in any form, are popped; the last one popped is the rank."""
     tail = "|".join(ranks)
     display = F.trim(F.regexp_replace(printed, rf"(?i)(\s+({tail})\.?)+\s*$", ""))
     rank = F.lower(F.regexp_extract(F.substring(printed, F.length(display) + 1, F.length(printed)), rf"(?i)\b({tail})\b", 1))
-    return F.struct(display.alias("display"), F.when(rank != "", rank).alias("rank"))
+    return F.struct(display.alias("display"), F.create_map(*[F.lit(v) for form in ranks.items() for v in form])[F.nullif(rank, F.lit(""))].alias("rank"))
 
 
 def clauses(entries: DataFrame, key: str, text: str, roles: tuple[tuple[str, str], ...]) -> DataFrame:

@@ -92,3 +92,9 @@ def test_pages_and_ranks(spark):
     assert [tuple(r) for r in registers.pages(v, "k", "t").orderBy("page").collect()] == [(1, 7, "a"), (1, 8, "b")]
     n = spark.createDataFrame([("Ali Bey Pasha",), ("Bey",), ("Omar",)], "n string")
     assert [tuple(r[0]) for r in n.select(registers.person_name(F.col("n"))).collect()] == [("Ali", "bey"), ("Bey", None), ("Omar", None)]
+
+
+def test_forms_of_ranks(spark):
+    printed = ["Ali Sadek Pacha", "Omar BACHA.", "Hassan Beik", "Riad Bek Pacha", "Nessim Effendy", "Murad Agha", "Agha Khan", "Zaki", None]
+    got = [tuple(r[0]) for r in spark.createDataFrame([(n,) for n in printed], "n string").coalesce(1).select(registers.person_name(F.col("n"))).collect()]
+    assert got == [("Ali Sadek", "pasha"), ("Omar", "pasha"), ("Hassan", "bey"), ("Riad", "bey"), ("Nessim", "effendi"), ("Murad", "agha"), ("Agha Khan", None), ("Zaki", None), (None, None)]
