@@ -2,7 +2,7 @@
 
 import random
 
-from interlace.operators import distances
+from interlace.operators import distances, measures
 
 
 def written(spark):
@@ -29,3 +29,28 @@ def test_persons_reach_no_persons(spark):
             front = [w for v in front for w in near[v] if w not in far and far.setdefault(w, far[v] + 1)]
         for f in (f for q, f in got if q == p):
             assert got[p, f] == far["f", f]
+
+
+def test_bands_are_counted_in_the_persons_row(spark):
+    rng = random.Random(5)
+    ties = [(y, p, f) for y in (1, 2) for p in range(2000) for f in rng.sample(range(250), 2)]
+    before = written(spark)
+    got = {r.band: (r.dyads, r.formed) for r in measures.geodesic_bands(spark.createDataFrame(ties, "year long, person long, firm long")).collect()}
+    # most of the 500,000 dyads are at distance 5
+    assert written(spark) - before < 6_000_000
+    now, seat, board = {t[1:] for t in ties if t[0] == 2}, {}, {}
+    for y, p, f in ties:
+        if y == 1:
+            seat.setdefault(p, set()).add(f)
+            board.setdefault(f, set()).add(p)
+    near = {f: set().union(*(seat[p] for p in board[f])) for f in board}
+    want = {}
+    for p, own in seat.items():
+        three = set().union(*(near[f] for f in own))
+        five = set().union(*(near[f] for f in three))
+        for f in range(250):
+            if f not in own:
+                band = "3" if f in three else "5" if f in five else "7+"
+                n, k = want.get(band, (0, 0))
+                want[band] = n + 1, k + ((p, f) in now)
+    assert got == want
