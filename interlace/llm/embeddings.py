@@ -2,7 +2,8 @@
 
 Vectors are dealt to cells around a bounded sample of pivots and cells to units of bounded size.
 A vector meets a unit only if the triangle inequality of angles leaves room for a partner there,
-so no link is lost. Inside a tile (two units) the product of the quantised vectors, plus what
+so no link is lost. Pairs of units are taken in rounds, so that what is dealt out at once is a few
+times the table, however many units a vector meets. Inside a tile (two units) the product of the quantised vectors, plus what
 their quantisation errors can change at most, rules out most pairs; only pairs possibly above the
 threshold are computed in double precision. A tile emits counts and a spanning forest, never all
 of its pairs.
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from interlace.llm.common import checkpoint, components
+from interlace.llm.common import checkpoint, components, release
 
 #: Rows in a unit about, pivots at most, rows of a block inside a tile.
 UNIT, PIVOTS, BLOCK = 2048, 512, 1024
+#: Units grow with the table up to so many rows; a vector is dealt out at most about so often at once; rows handed on at once.
+LARGEST, VISITS, ROWS = 16384, 8, 4096
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,6 +70,18 @@ def normed(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def matrix(v: pa.Array) -> np.ndarray:
+    """Rows of lists of one length, in double precision."""
+    return v.flatten().to_numpy().astype(np.float64).reshape(len(v), -1)
+
+
+def of_each(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each value of a column."""
+    values = batch[name].to_numpy()
+    for value in np.unique(values):
+        yield int(value), batch.take(pa.array(np.flatnonzero(values == value)))
+
+
 def tile(ids: np.ndarray, raw: np.ndarray, copies: np.ndarray, side: np.ndarray, own: bool, threshold: float) -> pd.DataFrame:
     """Rows (id, n, root): links of each vector inside the tile, copies counted, and the root it hangs on.
 
@@ -99,14 +114,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, unit: int = UNIT
     component_id is null only if no vector of its component has an id. Other columns are ignored;
     an empty table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kept = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kept}>").alias("v"))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     texts = rows.where("sound").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     distinct = checkpoint(texts.select(F.monotonically_increasing_id().alias("id"), F.size("v").alias("dim"), "v", "least", "copies"))
     lengths = distinct.groupBy("dim").agg(F.count("*").alias("total"))
-    if not lengths.limit(1).collect():
+    total = lengths.agg(F.sum("total")).first()[0]
+    if not total:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    unit = max(unit, min(LARGEST, total // 64)) if unit == UNIT else unit
     pivots = F.least(F.lit(PIVOTS), F.floor(F.col("total") / unit) + 1)
     drawn = distinct.select("dim", "id", F.xxhash64("v").alias("h")).withColumn("place", F.row_number().over(Window.partitionBy("dim").orderBy("h", "id")))
     drawn = drawn.join(F.broadcast(lengths), "dim").where(F.col("place") <= pivots).select("id")
@@ -114,30 +132,69 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, unit: int = UNIT
     for r in distinct.join(F.broadcast(drawn), "id", "left_semi").orderBy(F.xxhash64("v"), "id").select("dim", "v").collect():
         centres.setdefault(r["dim"], []).append(r["v"])
     centre = {d: normed(np.array(v)) for d, v in centres.items()}
-    reach = float(np.arccos(threshold)) + 1e-6
+    reach, spark = float(np.arccos(threshold)) + 1e-6, vectors.sparkSession
+
+    def angles(v: pa.Array, dim: int) -> np.ndarray:
+        return np.arccos(np.clip(normed(matrix(v)) @ centre[dim].T, -1, 1))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, b in of_each(batch, "dim"):
+                angle = angles(b["v"], dim)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angle.argmin(1).astype(np.int32)), pa.array(angle.min(1))], [*b.schema.names, "cell", "near"])
+
+    array = f"array<{kept}>"
+    placed = checkpoint(distinct.select("id", "copies", "v", "dim").mapInArrow(place, f"id long, copies long, v {array}, dim int, cell int, near double"))
+    # how many units a cell has, where their numbers begin, and how far from it a partner may be: at most PIVOTS rows for each length
+    parts = {d: np.zeros(len(c), np.int64) for d, c in centre.items()}
+    far = {d: np.full(len(c), -1.0) for d, c in centre.items()}
+    for r in placed.groupBy("dim", "cell").agg((F.floor(F.count("*") / unit) + 1).alias("parts"), (F.max("near") + reach).alias("far")).collect():
+        parts[r["dim"]][r["cell"]], far[r["dim"]][r["cell"]] = r["parts"], r["far"]
+    begin = {d: np.cumsum(p) - p for d, p in parts.items()}
+
+    def met(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows visit which cells: all that are near enough."""
+        return np.nonzero(angles(batch["v"], dim) <= far[dim])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, b in batch.groupby("dim"):
-                angle = np.arccos(np.clip(normed(np.array(b["v"].tolist())) @ centre[dim].T, -1, 1))
-                cell = angle.argmin(1)
-                yield pd.DataFrame({"id": b["id"].to_numpy(), "copies": b["copies"].to_numpy(), "v": b["v"].to_numpy(), "dim": b["dim"].to_numpy(), "cell": cell.astype(np.int32), "near": angle.min(1), "angles": list(angle)})
-
-    placed = checkpoint(distinct.select("id", "copies", "v", "dim").mapInPandas(place, "id long, copies long, v array<double>, dim int, cell int, near double, angles array<double>"))
-    # at most PIVOTS rows for each length
-    cells = checkpoint(placed.groupBy("dim", "cell").agg((F.floor(F.count("*") / unit) + 1).cast("int").alias("parts"), (F.max("near") + reach).alias("far")))
-    # unit (cell, part) of each row; a row visits all units of each cell of its length that is near enough
-    home = placed.join(F.broadcast(cells.select("dim", "cell", "parts")), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-    other = cells.select("dim", F.col("cell").alias("cell2"), F.col("parts").alias("parts2"), "far")
-    visits = home.join(F.broadcast(other), (home.dim == other.dim) & (F.get("angles", F.col("cell2")) <= F.col("far"))).select("id", "copies", "v", home.dim, "cell", "part", "cell2", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)).alias("part2"))
-    mine, met = F.struct("dim", "cell", "part"), F.struct("dim", F.col("cell2").alias("cell"), F.col("part2").alias("part"))
-    visits = visits.select("id", "copies", "v", F.least(mine, met).alias("a"), F.greatest(mine, met).alias("b"), (mine > met).cast("int").alias("side")).withColumn("own", F.col("a") == F.col("b"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("id")
-        return tile(g["id"].to_numpy(), np.array(g["v"].tolist()), g["copies"].to_numpy(), g["side"].to_numpy(), bool(g["own"].iloc[0]), threshold)
-
-    found = checkpoint(visits.groupBy("a", "b").applyInPandas(run, "id long, n long, root long"))
+            for dim, b in of_each(batch, "dim"):
+                yield pa.RecordBatch.from_arrays([pa.array([int(parts[dim][met(b, dim)[1]].sum())])], ["n"])
+
+    visits = placed.select("v", "dim").mapInArrow(count, "n long").agg(F.sum("n")).first()[0]
+    rounds = max(1, -(-visits // (VISITS * total)))
+
+    def run(group: pa.Table) -> pa.Table:
+        g = group.sort_by("id")
+        own = g["a"][0].as_py() == g["b"][0].as_py()
+        return pa.Table.from_pandas(tile(g["id"].to_numpy(), matrix(g["v"].combine_chunks()), g["copies"].to_numpy(), g["side"].to_numpy(), own, threshold), preserve_index=False)
+
+    def turn(which: int) -> DataFrame:
+        """Links of the pairs of units whose turn it is: a row goes to each that its unit makes with one it visits."""
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for dim, b in of_each(batch, "dim"):
+                    cell = b["cell"].to_numpy()
+                    mine = begin[dim][cell] + b["id"].to_numpy() % parts[dim][cell]
+                    row, other = met(b, dim)
+                    n = parts[dim][other]
+                    row, unit2 = np.repeat(row, n), np.repeat(begin[dim][other] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    low, high = np.minimum(mine[row], unit2), np.maximum(mine[row], unit2)
+                    due = np.flatnonzero((low * 31 + high) % rounds == which)
+                    for at in range(0, len(due), ROWS):
+                        some = due[at : at + ROWS]
+                        took = b.select(["dim", "id", "copies", "v"]).take(pa.array(row[some]))
+                        side = (mine[row[some]] > unit2[some]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([*took.columns, pa.array(low[some]), pa.array(high[some]), pa.array(side)], [*took.schema.names, "a", "b", "side"])
+
+        sent = placed.mapInArrow(visit, f"dim int, id long, copies long, v {array}, a long, b long, side int")
+        return sent.groupBy("dim", "a", "b").applyInArrow(run, "id long, n long, root long")
+
+    found = checkpoint(turn(0))
+    for which in range(1, rounds):
+        release(spark)
+        found = found.union(checkpoint(turn(which)))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     classes = distinct.join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left").select("v", "least", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))
